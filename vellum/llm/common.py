@@ -80,3 +80,9 @@ def text_groups(docs: DataFrame, column: str = "text", target: int = 6 << 20) ->
 def bounded(df: DataFrame, most: int) -> bool:
     """True if ``df`` has at most ``most`` rows: the size check that every broadcast here stands behind."""
     return df.limit(most + 1).count() <= most
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value computed once. A column that a lambda refers to may be inlined there by the
+    optimizer and computed again for every element; a lambda's own variable never is."""
+    return F.get(F.transform(F.array(value), body), 0)
