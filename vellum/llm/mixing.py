@@ -54,7 +54,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     known = labels.where("quality IS NOT NULL AND toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("label_id"), domain.alias("domain"))
     known = persist(known.orderBy(F.xxhash64("label_id"), "label_id", "domain").limit(SAMPLE), "known")
-    rows = docs.join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("domain", "text")  # at most SAMPLE labels
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("domain", "text")  # at most SAMPLE labels
     sample = rows.mapInArrow(_sampled, "domain int, slots array<int>, style array<double>").limit(4 * SAMPLE).toArrow()
     y = sample.column("domain").to_numpy()
     if not len(y):

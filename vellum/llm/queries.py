@@ -1,12 +1,17 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from vellum.llm import decontamination, quality_rules, sharding, simhash_dedup, substring_dedup
+from vellum.llm import decontamination, language_model, mixing, pii, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup, url_filters
 
 QUERIES = {
+    "op1_quality_classifier": quality_classifier.op1,
     "op2_substring_dedup": substring_dedup.op2,
     "op3_decontamination": decontamination.op3,
+    "op4_url_filters": url_filters.op4,
+    "op5_mixing": mixing.op5,
+    "op6_language_model": language_model.op6,
     "op7_simhash_dedup": simhash_dedup.op7,
     "op8_quality_rules": quality_rules.op8,
     "op9_sharding": sharding.op9,
+    "op10_pii": pii.op10,
 }
-ORACLE_SQL = {"op3_decontamination": decontamination.SQL}
+ORACLE_SQL = {"op3_decontamination": decontamination.SQL, "op4_url_filters": url_filters.SQL}
