@@ -141,7 +141,7 @@ class _Markdown(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.skip, self.lists, self.row, self.rows, self.cell = [], 0, [], None, None, None
+        self.out, self.skip, self.lists, self.row, self.rows, self.cell, self.pre = [], 0, [], None, None, None, 0
 
     def put(self, text):
         (self.cell if self.cell is not None else self.out).append(text)
@@ -168,6 +168,7 @@ class _Markdown(HTMLParser):
             self.put("**")
         elif tag == "pre":
             self.put("\n\n```\n")
+            self.pre += 1
         elif tag == "img":
             self.put(f"[Image: {a.get('alt') or ''} ({(a.get('src') or '').rpartition('/')[2]})]")
         elif tag == "tr" and self.rows is not None:
@@ -185,6 +186,7 @@ class _Markdown(HTMLParser):
             self.put("**")
         elif tag == "pre":
             self.put("\n```\n\n")
+            self.pre = max(0, self.pre - 1)
         elif tag in ("td", "th") and self.cell is not None:
             text = re.sub(r"\s+", " ", "".join(self.cell)).strip().replace("|", "\\|")
             self.row += [text] * min(self.span, 50)
@@ -194,12 +196,12 @@ class _Markdown(HTMLParser):
                 self.rows.append(self.row)
             self.row = None
         elif tag == "table" and self.rows is not None:
-            self.out.append(markdown_table(self.rows))
+            self.out.append("\n\n" + markdown_table(self.rows) + "\n\n")
             self.rows = None
 
     def handle_data(self, data):
         if not self.skip:
-            self.put(data)
+            self.put(data if self.pre else re.sub(r"\s+", " ", data))
 
 
 def markdown_table(rows: list[list[str]]) -> str:
@@ -218,7 +220,7 @@ def html_to_markdown(page: str | None) -> str:
     parser = _Markdown()
     parser.feed(page)
     parser.close()
-    lines = [re.sub(r"[ \t]+", " ", x).rstrip() for x in "".join(parser.out).split("\n")]
+    lines = [x.rstrip() for x in "".join(parser.out).split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
