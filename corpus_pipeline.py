@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontamination, mixing, quality_rules, sharding, simhash_dedup
+from vellum.llm import decontamination, mixing, near_copies, quality_rules, sharding
 from vellum.llm.common import persist, table
 
 
@@ -14,8 +14,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash_dedup.keep_one_of_each(docs)
+    """One document of each group of texts linked at a similarity of 0.8 (shingles of five words)."""
+    return near_copies.keep_one_of_each(docs)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
