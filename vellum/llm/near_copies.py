@@ -36,6 +36,7 @@ from vellum.llm.substring_dedup import rolling, word_codes
 WIDTH, SIMILARITY = 5, (4, 5)  # the similarity as a fraction
 BANDS, ROWS = 32, 6
 MOST_WANTED = 200_000
+_BATCH = 256  # rows with a whole text or its set in one Arrow batch
 _BASE, _CHUNK = 0xD6E8FEB86659FD93, 4096
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64) | np.uint64(1)
@@ -64,19 +65,23 @@ def band_keys(grams: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def _node(grams: np.ndarray) -> tuple[int, int, list[int]]:
+    return xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63), len(grams), band_keys(grams)
+
+
 def _described(batches):
     known: dict[bytes, int] = {}
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        sets = [shingle_set(t, known) for t in texts]
+        found = [_node(shingle_set(t, known)) for t in texts]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 batch.column("text_hash"),
                 pa.array(np.fromiter(map(simhash_dedup.fingerprint, texts), np.uint64, len(texts)).view(np.int64)),
-                pa.array([xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets], pa.int64()),
-                pa.array(map(len, sets), pa.int64()),
-                pa.array(map(band_keys, sets), pa.list_(pa.int64())),
+                pa.array([x[0] for x in found], pa.int64()),
+                pa.array([x[1] for x in found], pa.int64()),
+                pa.array([x[2] for x in found], pa.list_(pa.int64())),
             ],
             names=["doc_id", "text_hash", "fp", "node", "size", "keys"],
         )
@@ -104,9 +109,20 @@ def _allowed(x: str, y: str):
     return SIMILARITY[1] * F.least(x, y) >= SIMILARITY[0] * F.greatest(x, y)
 
 
+def _persist_batched(df: DataFrame, label: str) -> DataFrame:
+    """``persist`` with Arrow batches of ``_BATCH`` rows, so a worker holds few whole texts or sets at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(_BATCH))
+    try:
+        return persist(df, label)
+    finally:
+        conf.set(key, before)
+
+
 def _verify(pairs: DataFrame, grams: DataFrame, label: str) -> DataFrame:
     x, y = (grams.select(F.col("node").alias(n), F.col("grams").alias(g)) for n, g in (("a", "x"), ("b", "y")))
-    return persist(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), label)
+    return _persist_batched(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), label)
 
 
 def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
@@ -121,7 +137,7 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """One row a row of ``docs``: ``doc_id, text_hash, root``; rows of a group share the root."""
     described = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = persist(described.mapInArrow(_described, "doc_id long, text_hash long, fp long, node long, size long, keys array<long>"), "described")
+    rows = _persist_batched(described.mapInArrow(_described, "doc_id long, text_hash long, fp long, node long, size long, keys array<long>"), "described")
     nodes = rows.groupBy("node").agg(F.min(F.struct("text_hash", "doc_id", "fp")).alias("one"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = persist(nodes.select("node", "size", "keys", "one.*"), "nodes")
 
@@ -137,7 +153,7 @@ def groups(docs: DataFrame) -> DataFrame:
     wanted = persist(wanted.select("node", F.col("doc_id").alias("one_id"), F.col("text_hash").alias("one_hash")), "wanted")
     wanted = F.broadcast(wanted) if bounded(wanted, MOST_WANTED) else wanted
     texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].cast("long").eqNullSafe(wanted["one_id"]) & (F.xxhash64(docs["text"]) == wanted["one_hash"]))
-    grams = persist(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets, "node long, grams binary"), "grams")
+    grams = _persist_batched(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets, "node long, grams binary"), "grams")
 
     first = _verify(pairs, grams, "links")
     roots = connected_components(first)
