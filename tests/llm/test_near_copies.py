@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from vellum.llm import near_copies as N
 
 
@@ -66,6 +68,32 @@ def test_big_groups_and_shared_passages(spark):
     check(spark, rows)
 
 
+def test_prefixes_of_like_sets_meet():
+    rng = np.random.default_rng(3)
+    often = rng.integers(0, 50, N.BUCKETS).astype(np.int32)
+    for n in [1, 2, 4, 5, 6, 9, 10, 45, 200]:
+        for _ in range(40):
+            x = np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2))
+            out = rng.integers(0, n // 5 + 1)
+            y = np.unique(np.concatenate([x[rng.permutation(len(x))[out:]], rng.integers(0, 1 << 63, rng.integers(0, n // 5 + 1), np.uint64)]))
+            common = len(np.intersect1d(x, y))
+            if 5 * common >= 4 * (len(x) + len(y) - common):
+                a, b = N.prefix(x, often).tolist(), N.prefix(y, often).tolist()
+                assert any(9 * min(len(x) - i, len(y) - b.index(g)) >= 4 * (len(x) + len(y)) for i, g in enumerate(a) if g in b)
+
+
+def test_template_fill_ins(spark):
+    """Texts of one frequent passage and words of their own share bands but neither link nor get lost; chains link across them."""
+    rng, rows = random.Random(8), []
+    for i in range(300):
+        rows.append((i, " ".join([f"p{k}" for k in range(100)] + [f"f{i}_{k}" for k in range(rng.randrange(18, 40))])))
+    w = [f"p{k}" for k in range(100)] + [f"g{k}" for k in range(40)]
+    for i in range(300, 340):  # each a word further than the one before
+        w = w[1:] + [f"h{i}"]
+        rows.append((i, " ".join(w)))
+    check(spark, rows)
+
+
 def test_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     check(spark, rows)

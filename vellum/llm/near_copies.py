@@ -10,10 +10,15 @@ similarity of at least ``SIMILARITY``; groups are the connected components. Cand
 
 Every candidate is verified on the whole sets, in integers, so no unlike pair links.
 
-Equal sets are one node, so exact copies never meet in one task. Each member of a band first meets one
-leader, the smallest; after contraction only members of different components that still share a band
-(and whose sizes allow the similarity) are compared. A big group of copies thus costs one comparison a
-member, whatever its size, and no comparison is dropped.
+Equal sets are one node, so exact copies never meet in one task. Members of a band are never compared
+all with all. In each round a band draws one leader by hash, every member of another component
+meets it, and components are joined, so a big group of copies costs one comparison a member and round;
+rounds end when they link few (``YIELD``).
+Bands that still hold several components then give up their nodes to an exact prefix join: with the
+shingles of a set ordered from rare to frequent, two sets at the similarity share a shingle among the
+first ``size - ceil(similarity * size) + 1`` of both, at places that leave enough overlap. Frequent
+passages sort last and leave the prefix unless a text is nearly made of them. Any common order
+is right, so frequencies are counted by ``BUCKETS`` hash buckets, a bounded table.
 
 Defined results: null and wordless texts have the empty set and are copies of each other; texts of fewer
 words than a shingle are one shingle; of a group the smallest ``doc_id`` stays (a null one only if all
@@ -36,6 +41,8 @@ from vellum.llm.substring_dedup import rolling, word_codes
 WIDTH, SIMILARITY = 5, (4, 5)  # the similarity as a fraction
 BANDS, ROWS = 32, 6
 MOST_WANTED = 200_000
+ROUNDS, YIELD, BUCKET_BITS = 8, 4, 17
+BUCKETS = 1 << BUCKET_BITS
 _BATCH = 256  # rows with a whole text or its set in one Arrow batch
 _BASE, _CHUNK = 0xD6E8FEB86659FD93, 4096
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -104,6 +111,35 @@ def _verified(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _bucket(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _bucket_counts(batches):
+    seen = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for grams in batch.column("grams"):
+            np.add.at(seen, _bucket(np.frombuffer(grams.as_buffer(), np.uint64)), 1)
+    held = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(seen[held])], names=["bucket", "n"])
+
+
+def prefix(grams: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, of which any set at the similarity has one among its own."""
+    n = len(grams)
+    least = -(-SIMILARITY[0] * n // SIMILARITY[1])
+    return grams[np.lexsort((grams, often[_bucket(grams)]))[: n - least + 1]]
+
+
+def _prefixes(often: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            found = [prefix(np.frombuffer(g.as_buffer(), np.uint64), often).view(np.int64) for g in batch.column("grams")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "size", "root")), pa.array(found, pa.list_(pa.int64()))], names=["node", "size", "root", "tokens"])
+
+    return run
+
+
 def _allowed(x: str, y: str):
     """Sets of these sizes can have the similarity."""
     return SIMILARITY[1] * F.least(x, y) >= SIMILARITY[0] * F.greatest(x, y)
@@ -134,6 +170,45 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     return same.unionByName(linked)
 
 
+def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, node, size, root`` of the bands that hold more than one component."""
+    rooted = members.select("key", "node", "size").join(roots, "node")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
+    return persist(rooted.join(mixed, "key", "left_semi"), "unsettled")
+
+
+def _leader_pairs(unsettled: DataFrame, k: int) -> DataFrame:
+    """Each member of a band with the band's leader of round ``k``, if that is of another component."""
+    leader = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("draw"), "node", "size", "root"))
+    led = unsettled.join(unsettled.groupBy("key").agg(leader.alias("l")), "key").where((F.col("root") != F.col("l.root")) & _allowed("size", "l.size"))
+    return led.select(F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b")).distinct()
+
+
+def _prefix_pairs(unsettled: DataFrame, grams: DataFrame) -> DataFrame:
+    """All pairs of these nodes that are of different components and may have the similarity."""
+    held = _persist_batched(unsettled.select("node", "size", "root").distinct().join(grams, "node"), "unsettled-sets")
+    counted = held.select("grams").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
+    often = np.zeros(BUCKETS, np.int32)
+    often[counted["bucket"].to_numpy(np.int64)] = np.minimum(counted["n"].to_numpy(np.int64), np.iinfo(np.int32).max)
+    found = held.mapInArrow(_prefixes(often), "node long, size long, root long, tokens array<long>")
+    found = _persist_batched(found.select("node", "size", "root", F.posexplode("tokens").alias("at", "token")), "prefixes")
+    mixed = found.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("token")
+    found = found.join(mixed, "token", "left_semi")
+    x, y = (found.select("token", *(F.col(c).alias(f"{p}{c}") for c in ("node", "size", "root", "at"))) for p in ("x", "y"))
+    s, t = SIMILARITY
+    enough = (s + t) * F.least(F.col("xsize") - F.col("xat"), F.col("ysize") - F.col("yat")) >= s * (F.col("xsize") + F.col("ysize"))
+    both = x.join(y, "token").where((F.col("xnode") > F.col("ynode")) & (F.col("xroot") != F.col("yroot")) & _allowed("xsize", "ysize") & enough)
+    return both.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct()
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` with the components joined that these links join."""
+    a, b = (roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in ("a", "b"))
+    edges = links.join(a, "a").join(b, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    moved = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return persist(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "node-roots")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """One row a row of ``docs``: ``doc_id, text_hash, root``; rows of a group share the root."""
     described = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
@@ -155,15 +230,16 @@ def groups(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].cast("long").eqNullSafe(wanted["one_id"]) & (F.xxhash64(docs["text"]) == wanted["one_hash"]))
     grams = _persist_batched(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets, "node long, grams binary"), "grams")
 
-    first = _verify(pairs, grams, "links")
-    roots = connected_components(first)
-    rooted = members.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-    rooted = persist(rooted.join(mixed, "key", "left_semi"), "unsettled")
-    x, y = (rooted.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("node", "size", "root"))) for p in ("x", "y"))
-    rest = x.join(y, "key").where((F.col("xnode") > F.col("ynode")) & (F.col("xroot") != F.col("yroot")) & _allowed("xsize", "ysize"))
-    rest = rest.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    roots = connected_components(first.unionByName(_verify(rest, grams, "more-links")))
+    roots = connected_components(_verify(pairs, grams, "links"))
+    roots = persist(wanted.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "node-roots")
+    unsettled = _unsettled(members, roots)
+    for k in range(ROUNDS):
+        links = _verify(_leader_pairs(unsettled, k), grams, "more-links")
+        roots = _merged(roots, links)
+        unsettled = _unsettled(members, roots)
+        if YIELD * links.count() < unsettled.select("node").distinct().count():
+            break  # what is left is mostly unlike: for the prefix join
+    roots = _merged(roots, _verify(_prefix_pairs(unsettled, grams), grams, "last-links"))
     return rows.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
