@@ -3,6 +3,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 from vellum.llm import language_model as L
 
@@ -45,6 +47,40 @@ def test_probabilities_sum_to_one():
     assert np.allclose((p[:, of] * inside).sum(1) + p @ unseen, p[:, used].sum(1))
 
 
+def test_every_training_position_gives_a_gradient():
+    words = [f"w{k}" for k in range(300)]  # each follows one other: a feature row a position
+    rows = pa.table({"at": [1], "g": [0], "text": [" ".join(words)], "train": [True]})
+    t = L.Tokens([" ".join(words)], np.array([True]))
+    order, cut = t.buckets(1)
+    answers = pa.table({"bucket": [0], "totals": [np.ones(len(order), np.int64).tobytes()]})
+    model = L.Model(L.fit_clusters([w.encode() for w in words]), [])
+    out = L._train(model, 1, 1)(rows, answers)
+    delta = np.frombuffer(out.column("delta")[0].as_py(), np.float16).reshape(model.weights.shape)
+    touched = np.unique(model.features(t, model.classes(t, np.ones(len(t.words), np.int64))))
+    assert (delta[touched] != 0).any(1).all()
+
+
+def test_clusters_are_fitted_to_every_training_word(spark):
+    rows = [(k, " ".join(f"{chr(97 + j % 26)}{j}x{k}" for j in range(300)), True) for k in range(450)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    seen, fit = [], L.fit_to_all
+
+    def spy(sums, own):
+        seen.append(fit(sums, own))
+        found = [w for r in sums.collect() for w in bytes(r.words).split(b"\n")]
+        counts = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sums.collect()])
+        keep = [k for k, w in enumerate(found) if xxhash.xxh64_intdigest(w) not in set(own)]
+        assert set(found) == {w.encode() for _, t, _ in rows for w in t.split()} | {L._END}
+        assert np.array_equal(seen[0], L.fit_clusters([found[k] for k in keep], counts[keep]))
+        return seen[0]
+
+    L.fit_to_all = spy
+    try:
+        assert L.score_texts(docs, train=docs.train).count() == 450 and seen
+    finally:
+        L.fit_to_all = fit
+
+
 def test_held_out_beats_the_base(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

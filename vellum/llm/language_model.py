@@ -13,10 +13,11 @@ unseen word sum to 1.
 Plan. Texts are dealt into groups of about 6 MB. A group sends each of its distinct words, as a hash with
 its training count there, to a bucket of the vocabulary; buckets sum the counts over the corpus and
 answer each group, so no vocabulary is ever gathered, and a word that all documents share costs a
-row a group. Training is iterative parameter mixing: in each round, groups run Adagrad over
-minibatches of their training documents (a fixed share ``GRADIENT_SHARE`` of each document's
-positions), weights are averaged by Spark in two levels, and only the average (2 MB) meets
-the driver. A last pass scores whole texts in sparse numpy batches. Counts cover every training token.
+row a group. The buckets keep their training words, over which k-means fits the spelling clusters: every
+word by its count, as integer sums a pass. Training is iterative parameter mixing: groups are dealt to
+rounds, run Adagrad over minibatches of every position of their training documents, weights are averaged by
+Spark in two levels, and only the average (2 MB) meets the driver. A last pass scores whole texts in sparse
+numpy batches. Every training token gives one gradient and counts.
 
 Defined results: null and empty texts are one end token; repeated rows are separate documents and
 each counts in training; a null ``doc_id`` counts as the id text ''; with no training documents every
@@ -35,9 +36,9 @@ from vellum.llm.common import LOWER, UPPER, by_value, persist, remainder, table,
 
 OWN, CLUSTERS, TIER = 31, 16, 64
 CLASSES = OWN + 2 * CLUSTERS + 1
-SLOTS, FEATURES, ROUNDS, BATCH, RATE, GRADIENT_SHARE = 2048, 4, 2, 8192, 0.15, 0.25
+SLOTS, FEATURES, ROUNDS, BATCH, RATE = 2048, 4, 2, 8192, 0.15
 SCORED = 1024  # tokens scored at once: their logits stay in a core's cache
-SAMPLE_DOCS, SAMPLE_WORDS = 400, 200
+PAIRS, PASSES, UNIT = 509, 12, 1 << 20  # k-means over letter pairs, in sums of 1 / UNIT
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _END = b" "  # no word contains a space
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -81,9 +82,11 @@ def _ask(buckets: int):
         order, cut = t.buckets(buckets)
         full = [b for b in range(buckets) if cut[b] < cut[b + 1]]
         parts = [order[cut[b] : cut[b + 1]] for b in full]
+        learnt = [b"\n".join([t.words[k] for k in p if counts[k]]) for p in parts]
         return pa.table({
             "bucket": pa.array(full, pa.int32()), "g": pa.array([group[0].as_py()] * len(full), pa.int32()),
             "codes": pa.array([t.codes[p].tobytes() for p in parts], pa.binary()), "counts": pa.array([counts[p].tobytes() for p in parts], pa.binary()),
+            "learnt": pa.array(learnt, pa.binary()),
         })
 
     return ask
@@ -98,12 +101,15 @@ def _count(bucket: tuple, rows: pa.Table) -> pa.Table:
     cuts = np.cumsum([0, *map(len, codes)])
     answers = [total[at[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     top = np.argsort(-total, kind="stable")[:OWN]
+    learnt = [w for x in rows.column("learnt").to_pylist() if x for w in x.split(b"\n")]  # in the order of counts above 0
+    _, first = np.unique(np.concatenate(codes)[counts > 0], return_index=True)
     b = [bucket[0].as_py()] * (len(codes) + 1)
     none = [None] * len(codes)
     return pa.table({
         "g": pa.array([*rows.column("g").to_pylist(), -1], pa.int32()), "bucket": pa.array(b, pa.int32()), "totals": pa.array([*answers, None], pa.binary()),
         "n": pa.array([*none, int(total.sum())], pa.int64()), "v": pa.array([*none, int((total > 0).sum())], pa.int64()),
         "top": pa.array([*none, [{"c": int(total[k]), "code": int(known[k]) - (1 << 63)} for k in top]], pa.list_(pa.struct([("c", pa.int64()), ("code", pa.int64())]))),
+        "words": pa.array([*none, b"\n".join([learnt[k] for k in first])], pa.binary()), "counts": pa.array([*none, total[total > 0].tobytes()], pa.binary()),
     })
 
 
@@ -119,7 +125,7 @@ def _letter_pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed letter pairs of each word in a row, and where each word begins."""
     spaced = np.frombuffer(b"".join(b" %b " % w for w in words), np.uint8).astype(np.int64)
     starts = np.cumsum([0, *(len(w) + 2 for w in words)])[:-1]
-    return np.append((spaced[:-1] * 37 + spaced[1:] * 101) % 509, 0), starts
+    return np.append(spaced[:-1] * 37 + spaced[1:] * 101, 32 * 138) % PAIRS, starts  # as if a word came after the last
 
 
 def clusters(words: list[bytes], centres: np.ndarray) -> np.ndarray:
@@ -132,23 +138,82 @@ def clusters(words: list[bytes], centres: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def fit_clusters(words: list[bytes]) -> np.ndarray:
-    """Centres (pair by cluster), by k-means over a bounded sample of words."""
-    if not words:
-        return np.zeros((509, CLUSTERS), np.float32)
-    pairs, starts = _letter_pairs(words)
-    owner = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(pairs))))
-    x = np.zeros((len(words), 509), np.float32)
-    np.add.at(x, (owner, pairs), 1)
-    x /= x.sum(1, keepdims=True)
-    rng = np.random.default_rng(1)
-    centres = x[rng.choice(len(x), CLUSTERS, replace=len(x) < CLUSTERS)]
-    for _ in range(12):
-        near = (x @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
-        for k in range(CLUSTERS):
-            if (near == k).any():
-                centres[k] = x[near == k].mean(0)
-    return centres.T.copy()
+def _cluster_sums(words: list[bytes], counts: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Sums of the words' pair shares (in ``UNIT``) by pair and nearest centre, weighted by count."""
+    sums = np.zeros(PAIRS * CLUSTERS, np.int64)
+    near = clusters(words, centres)
+    for a in range(0, len(words), 50_000):
+        pairs, starts = _letter_pairs(words[a : a + 50_000])
+        lengths = np.diff(np.append(starts, len(pairs)))
+        share = counts[a : a + 50_000] * UNIT // lengths
+        sums += np.bincount(pairs * CLUSTERS + np.repeat(near[a : a + 50_000], lengths), np.repeat(share, lengths), len(sums)).astype(np.int64)
+    return sums
+
+
+def _first_centres(words: list[bytes]) -> np.ndarray:
+    """Centres (pair by cluster) at these words."""
+    centres = np.zeros((PAIRS, CLUSTERS), np.float32)
+    for k in range(CLUSTERS if words else 0):
+        pairs = _letter_pairs([words[k % len(words)]])[0]
+        centres[:, k] = np.bincount(pairs, minlength=PAIRS) / len(pairs)
+    return centres
+
+
+def _moved(centres: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    sums = sums.reshape(PAIRS, CLUSTERS)
+    mass = sums.sum(0)
+    return np.where(mass > 0, sums / np.maximum(mass, 1), centres).astype(np.float32)
+
+
+def fit_clusters(words: list[bytes], counts: np.ndarray | None = None) -> np.ndarray:
+    """Centres (pair by cluster), by k-means over these words."""
+    counts = np.ones(len(words), np.int64) if counts is None else counts
+    centres = _first_centres(sorted(words, key=xxhash.xxh64_intdigest)[:CLUSTERS])
+    for _ in range(PASSES):
+        centres = _moved(centres, _cluster_sums(words, counts, centres))
+    return centres
+
+
+def _others(batches, own: set[int]):
+    """Training words of the buckets that aren't classes of their own, and their counts."""
+    for batch in batches:
+        for blob, n in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            words, counts = blob.split(b"\n") if blob else [], np.frombuffer(n, np.int64)
+            keep = [k for k, w in enumerate(words) if xxhash.xxh64_intdigest(w) not in own]
+            yield [words[k] for k in keep], counts[keep]
+
+
+def _lowest(own: set[int]):
+    def lowest(batches):
+        for words, _ in _others(batches, own):
+            found = sorted((xxhash.xxh64_intdigest(w) - (1 << 63), w) for w in words)[:CLUSTERS]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([w for _, w in found], pa.binary())], names=["code", "word"])
+
+    return lowest
+
+
+def _shares(own: set[int], centres: np.ndarray):
+    def shares(batches):
+        sums = np.zeros(PAIRS * CLUSTERS, np.int64)
+        for words, counts in _others(batches, own):
+            sums += _cluster_sums(words, counts, centres)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], names=["at", "v"])
+
+    return shares
+
+
+def fit_to_all(sums: DataFrame, own: list[int]) -> np.ndarray:
+    """``fit_clusters`` over the training words of all buckets (``words, counts``)."""
+    own, buckets = set(own), sums.select("words", "counts")
+    first = buckets.mapInArrow(_lowest(own), "code long, word binary").orderBy("code").limit(CLUSTERS).collect()
+    centres = _first_centres([bytes(r.word) for r in first])
+    for _ in range(PASSES if first else 0):
+        total = np.zeros(PAIRS * CLUSTERS, np.int64)
+        for r in buckets.mapInArrow(_shares(own, centres), "at int, v long").groupBy("at").agg(F.sum("v").alias("v")).collect():  # PAIRS * CLUSTERS rows
+            total[r["at"]] = r.v
+        centres = _moved(centres, total)
+    return centres
 
 
 class Model:
@@ -207,7 +272,6 @@ def _train(model: Model, buckets: int, spread: int):
         once = np.bincount(of, (total == 1) * counts, CLASSES)
         weights, squares = model.weights.copy(), np.full((FEATURES * SLOTS, 1), 1e-2, np.float32)
         at = np.flatnonzero(t.train)
-        at = at[(at.astype(np.uint64) * _M1 >> np.uint64(40)) % np.uint64(1000) < int(1000 * GRADIENT_SHARE)]
         bias = (np.log((mass + 0.5) / (mass.sum() + 0.5 * CLASSES))).astype(np.float32)
         rng = np.random.default_rng(7)
         rng.shuffle(at)
@@ -287,15 +351,6 @@ def _score(model: Model, buckets: int, n: int, v: int):
     return score
 
 
-def _some_words(batches):
-    for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            words = {w for w in text.encode().translate(_LOWER).split()} if text else set()
-            out.append(sorted(words, key=xxhash.xxh64_intdigest)[:SAMPLE_WORDS])
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.binary()))], names=["words"])
-
-
 def score_texts(docs: DataFrame, train=None) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``; ``train`` is the condition
     (a Column) for the documents to learn from, all but every seventh hash of ids by default."""
@@ -305,13 +360,13 @@ def score_texts(docs: DataFrame, train=None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(learn, F.lit(False)).alias("train"), F.xxhash64("doc_id", "text").alias("at"))
     rows = rows.withColumn("g", F.pmod("at", F.lit(groups)).cast("int"))
     dealt = rows.repartition(groups, "g")
-    asked = dealt.groupBy("g").applyInArrow(_ask(buckets), "bucket int, g int, codes binary, counts binary")
-    answers = persist(asked.groupBy("bucket").applyInArrow(_count, "g int, bucket int, totals binary, n long, v long, top array<struct<c:long,code:long>>"), "totals")
+    asked = dealt.groupBy("g").applyInArrow(_ask(buckets), "bucket int, g int, codes binary, counts binary, learnt binary")
+    answers = persist(asked.groupBy("bucket").applyInArrow(_count, "g int, bucket int, totals binary, n long, v long, top array<struct<c:long,code:long>>, words binary, counts binary"), "totals")
     sums = answers.where("g = -1")
     n, v = (x or 0 for x in sums.agg(F.sum("n"), F.sum("v")).first())
     top = sums.select(F.explode("top").alias("x")).select("x.*").where("c > 0").orderBy(F.desc("c"), "code").limit(OWN).collect()
-    sample = rows.where("train").orderBy(F.xxhash64("at"), "at").limit(SAMPLE_DOCS).select("text").mapInArrow(_some_words, "words array<binary>").collect()
-    model = Model(fit_clusters(sorted({bytes(w) for r in sample for w in r.words})), [r.code + (1 << 63) for r in top])
+    own = [r.code + (1 << 63) for r in top]
+    model = Model(fit_to_all(sums, own), own)
     answers = answers.where("g >= 0").select("g", "bucket", "totals")
     spread = 8
     for k in range(ROUNDS if n else 0):
