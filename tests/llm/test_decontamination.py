@@ -29,6 +29,16 @@ def test_small_cases(spark):
     assert sorted(r.doc_id for r in left.collect()) == [1, 3, 4, 5, 7, 9]
 
 
+def test_a_leak_with_its_halves_swapped(spark):
+    a, b = [f"a{k}" for k in range(30)], [f"b{k}" for k in range(30)]
+    item, text = a + b, [f"n{k}" for k in range(17)] + b + a + [f"m{k}" for k in range(9)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(b + a))], "doc_id long, text string")
+    got = D.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    best = max((len(shingles(item) & (x := shingles(text[s : s + 60]))) / len(shingles(item) | x), -s) for s in range(len(text)))
+    assert {(r.doc_id, r.item_id, r.similarity, r.start_word) for r in got} == {(1, 7, best[0], -best[1]), (2, 7, best[0], 0)} and best == (52 / 60, -17)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")

@@ -3,8 +3,8 @@ Hamming blocks and verified by exact weighted-shingle similarity.
 
 1. Texts are lower-cased (A-Z), split into words and hashed in shingles of five words. Windows as
    long as a benchmark item (cut off at the text's ends) are taken wherever they can reach the
-   similarity: it takes common shingles, so windows start where a shingle of the text lines up with
-   an equal shingle of some item. No other window is fingerprinted.
+   similarity: that takes enough shingles of one item, at whatever offset, so each item's shingles
+   are counted in a window that slides over the text, and every start with enough is fingerprinted.
 2. A window's 64-bit SimHash is cut into eight 8-bit blocks. Fingerprints within ``RADIUS`` = 23
    bits differ in at most two bits of some block, and the index holds each item's blocks with all
    variants of up to two bits: every item within the radius is found.
@@ -14,9 +14,9 @@ Hamming blocks and verified by exact weighted-shingle similarity.
 At the similarity 0.8 the expected distance is below 10 bits with a deviation of 3, so the radius
 takes in all but about one in a hundred thousand such windows.
 
-Only built-in functions run. The texts are scanned once and never shuffled: shingles flow through a
-broadcast join (benchmark's shingles, up to ``MOST_SHINGLES``; a shuffled join beyond), and only
-matching ones carry their windows on.
+Only built-in functions run. Texts are scanned twice: shingles flow through a broadcast join (benchmark's
+shingles, up to ``MOST_SHINGLES``; a shuffled join beyond), and places of the matching ones are gathered by
+text and item; texts with starts (broadcast up to ``MOST_LEAKS`` texts) are then cut into their windows.
 
 Defined results: null and wordless texts and items match nothing; an item of fewer than five words
 is one shingle of its own length; texts shorter than an item are compared as a whole; repeated rows
@@ -69,6 +69,17 @@ def _block(fp: Column, j: int) -> Column:
     return F.shiftrightunsigned(fp, _BITS * j).bitwiseAND(F.lit((1 << _BITS) - 1).cast("long")).cast("int")
 
 
+def _starts(at: Column, shingles: Column) -> Column:
+    """Starts (negative ones cut off) of the windows that hold enough of the item's shingles, found ``at`` these places in order.
+
+    Common shingles are at least ``SIMILARITY`` of the item's, or the similarity isn't reached: each run of so many places
+    within a window's reach gives the starts that hold it."""
+    least = F.ceil(shingles * F.lit(SIMILARITY) - 1e-9).cast("int")
+    last = lambda i: F.get(at, i + least - 1)
+    runs = F.filter(F.transform(at, lambda p, i: F.struct(p.alias("first"), last(i).alias("last"))), lambda r: r["last"] - r["first"] < shingles)
+    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["last"] - shingles + 1, r["first"]))))
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     rows = benchmark.select("item_id", words(lower_az(F.col("text"))).alias("w")).where(F.size("w") > 0)
     rows = rows.select("item_id", F.size("w").alias("n"), F.least(F.size("w"), F.lit(SHINGLE)).alias("width"), "w").distinct()
@@ -79,22 +90,28 @@ def _items(benchmark: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, text_hash, item_id, similarity, start_word``: the best window of each pair."""
     items = _items(benchmark)
-    grams = persist(items.select("n", "width", F.posexplode("h").alias("o", "gram")).distinct(), "grams")
+    grams = persist(items.select("item_id", "n", "width", F.explode("h").alias("gram")).distinct(), "grams")
     small = bounded(grams, MOST_SHINGLES)
     hint = F.broadcast if small else (lambda df: df)
     widths = [r[0] for r in items.select("width").distinct().collect()]  # at most SHINGLE rows
 
-    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(lower_az(F.col("text"))).alias("w"))
-    windows = None
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    split = texts.select("doc_id", "text_hash", words(lower_az(F.col("text"))).alias("w"))
+    found = None
     for width in widths:
-        hashed = split.select("*", let(F.col("w"), lambda w: _shingles(w, width)).alias("grams")).select("doc_id", "text_hash", "w", F.posexplode("grams").alias("p", "gram"))
-        met = hashed.join(hint(grams.where(F.col("width") == width)), "gram").withColumn("start", F.col("p") - F.col("o"))
-        first = F.greatest("start", F.lit(0))
-        met = met.select("doc_id", "text_hash", "width", "n", "start", F.slice("w", first + 1, F.col("start") + F.col("n") - first).alias("window"))
-        windows = met if windows is None else windows.unionByName(met)
-    if windows is None:
+        hashed = split.select("doc_id", "text_hash", let(F.col("w"), lambda w: _shingles(w, width)).alias("grams")).select("doc_id", "text_hash", F.posexplode("grams").alias("p", "gram"))
+        met = hashed.join(hint(grams.where(F.col("width") == width)), "gram").groupBy("doc_id", "text_hash", "width", "n", "item_id").agg(F.sort_array(F.collect_set("p")).alias("at"))
+        met = met.select("doc_id", "text_hash", "width", "n", F.explode(let(F.col("at"), lambda at: _starts(at, F.col("n") - width + 1))).alias("start"))
+        found = met if found is None else found.unionByName(met)
+    if found is None:
         return split.limit(0).selectExpr("doc_id", "text_hash", "cast(null as bigint) as item_id", "cast(null as double) as similarity", "cast(null as int) as start_word")
-    windows = windows.dropDuplicates(["doc_id", "text_hash", "width", "n", "start"])
+    found = found.distinct().groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("width", "n", "start")).alias("found"))
+    found = persist(found.withColumnsRenamed({"doc_id": "leak_id", "text_hash": "leak_hash"}), "starts")
+    near = F.broadcast(found) if bounded(found, MOST_LEAKS) else found
+    windows = texts.join(near, texts["doc_id"].eqNullSafe(near["leak_id"]) & (texts["text_hash"] == near["leak_hash"])).dropDuplicates(["doc_id", "text_hash"])
+    cut = lambda w, x: F.slice(w, F.greatest(x["start"], F.lit(0)) + 1, x["start"] + x["n"] - F.greatest(x["start"], F.lit(0)))
+    each = let(words(lower_az(F.col("text"))), lambda w: F.transform("found", lambda x: F.struct(x["width"].alias("width"), x["n"].alias("n"), x["start"].alias("start"), cut(w, x).alias("window"))))
+    windows = windows.select("doc_id", "text_hash", F.explode(each).alias("x")).select("doc_id", "text_hash", "x.*")
     windows = windows.select("*", let(_by_width(F.col("width"), F.col("window")), lambda h: F.struct(_simhash(h).alias("fp"), _numbered(h).alias("numbered"))).alias("x"))
     windows = persist(windows.select("doc_id", "text_hash", "n", "start", "x.*"), "windows")
 
