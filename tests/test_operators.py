@@ -45,6 +45,23 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.sql("select page_id, event_id from accepted").collect())) == sorted(map(tuple, debounced(events).collect()))
 
 
+def test_orphans_take_every_row_without_a_cap(spark, monkeypatch):
+    import numpy as np
+
+    from vellum.plans import queries
+
+    knn = search.knn
+    monkeypatch.setattr(search, "knn", lambda t, q, k, *a, **b: knn(t, q, min(k, 3), *a, **b))  # as if a table were beyond the cap
+    v = np.random.default_rng(3).normal(size=(60, 8))
+    v[30:] = -np.abs(v[30:])
+    v[0] = 1.0
+    t = spark.createDataFrame([(f"P-{k}", k, x.tolist(), "s", "m") for k, x in enumerate(v)], "jira_key string, key_no long, embedding array<double>, summary string, module string")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    best = ((1 + u[[0, 37]] @ u.T) / 2).round(6).max(0)
+    got = {r.jira_key: round(r.best_score, 6) for r in queries.orphan_tests(t).collect()}
+    assert got == {f"P-{k}": round(b, 6) for k, b in enumerate(best) if b < 0.52} and got
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a b!.md").write_text("plain")

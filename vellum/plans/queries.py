@@ -111,8 +111,7 @@ def duplicate_verdict(t):
     sql=f"""WITH {_KNN % ('', 1000000)} SELECT jira_key, max(score) AS best_score FROM knn GROUP BY jira_key HAVING max(score) < 0.52""",
 )
 def orphan_tests(t):
-    near = search.knn(t, asked(t), 1_000_000)
-    return near.groupBy("jira_key").agg(F.max("score").alias("best_score")).where("best_score < 0.52")
+    return search.best_scores(t, asked(t)).where("best_score < 0.52")
 
 
 @query("available_modules", "test_cases", sql="SELECT DISTINCT module FROM test_cases WHERE module IS NOT NULL ORDER BY module LIMIT 100")
