@@ -20,5 +20,5 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     rows = C.run(spark, sf_dir)
     got = rows.collect()
-    assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "text_crc32", "shard", "slot"] and got
+    assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "text_crc32", "shard"] and got
     assert all(len(r.text.encode()) + sharding.OVERHEAD == r.size for r in got)

@@ -45,6 +45,33 @@ def test_hosts(spark):
     assert few.count() == 0
 
 
+def test_clashing_names(spark):
+    names = ["rule_failed", "host_falls", "fallen_host", "Failed", "host", "words"]
+    docs = spark.createDataFrame([(k, "w " * (10 if k < 3 else 1) + " ".join(map(str, range(60))) if k else "bad", "h", *range(6)) for k in range(9)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    got = Q.keep(docs)
+    assert got.columns == docs.columns and sorted(tuple(r)[:1] + tuple(r)[3:] for r in got.collect()) == [(k, *range(6)) for k in range(1, 9)]
+
+
+def test_kept_against_brute_force(spark, sf_dir):
+    """Verdicts of hosts recomputed in plain Python from the base rules."""
+    good = " ".join(map(str, range(100)))
+    rows = [(k, "bad" if k % 100 else good, "spam") for k in range(400)] + [(1000 + k, good if k % 5 else "bad", f"h{k % 6}") for k in range(600)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for docs in (made, spark.read.parquet(f"{sf_dir}/documents.parquet")):
+        rows = [(r.doc_id, r.source, brute(r.text)[5]) for r in docs.collect()]
+        n, k = Counter(h for _, h, _ in rows), Counter(h for _, h, f in rows if f)
+        total, m = sum(n.values()), min(max(sum(k.values()) / sum(n.values()), 1e-3), 1 - 1e-3)
+        scatter = sum(k[h] * k[h] / n[h] for h in n) - total * m * m
+        between = max((scatter - (len(n) - 1) * m * (1 - m)) / max(total - sum(x * x for x in n.values()) / total, 1e-9), 1e-6)
+        s = min(max(m * (1 - m) / between - 1, 2.0), 1000.0)
+        falls = set()
+        for h in n:
+            a, b = m * s + k[h], (1 - m) * s + n[h] - k[h]
+            if a / (a + b) - Q.BOUND * (a * b / (a + b) ** 2 / (a + b + 1)) ** 0.5 > Q.HOST_LIMIT:
+                falls.add(h)
+        assert {r.doc_id for r in Q.judge(docs).where("kept").collect()} == {i for i, h, f in rows if not f and h not in falls}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert Q.judge(docs).count() == 0 and Q.keep(docs).count() == 0

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 from vellum.llm.sharding import add_shards, assign, op9
 
@@ -20,9 +21,32 @@ def test_small_cases(spark):
     rows = [(None, "x"), (0, None), (1, ""), (2, "é" * 500)] + [(k, f"text {k} " * (k % 9)) for k in range(3, 400)] + [(k, "copy " * 20) for k in range(400, 700)] + [(7, "again")] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "9 as shard", "8 as part", "7 as first")
     check(rows, assign(docs, 8).collect(), 8)
+    docs = docs.selectExpr("*", "1 as placed_text", "2 as copy_no", "3 as copy", "4 as placed_id", "5 as own_key", "6 as slot")
     whole = add_shards(docs, 8)
-    assert whole.columns == ["doc_id", "text", "part", "first", "size", "text_crc32", "shard", "slot"]
-    check(rows, whole.collect(), 8)
+    assert whole.columns == ["doc_id", "text", "part", "first", "placed_text", "copy_no", "copy", "placed_id", "own_key", "slot", "size", "text_crc32", "shard"]
+    got = whole.collect()
+    assert all(tuple(r)[2:10] == (8, 7, 1, 2, 3, 4, 5, 6) for r in got)
+    same(got, assign(docs, 8).collect())
+
+
+def same(got, placed):
+    """Rows with a key of their own have the shard that ``assign`` found."""
+    count = lambda rows: Counter((str(r.doc_id), r.size, r.text_crc32, r.shard) for r in rows)
+    assert count(got) == count(placed)
+
+
+def test_repeated_rows_on_both_sides_of_a_cut(spark):
+    rows = [(1, "the same row " * 10)] * 4000 + [(k, f"text {k}") for k in range(2, 200)] + [(500, "long " * 40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = add_shards(docs, 10).collect()
+    assert len(got) == len(rows)
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    placed = Counter()
+    for r in assign(docs, 10).collect():
+        placed[r.shard] += r.size
+    assert all(abs(sizes[s] - placed[s]) < 0.2 * sum(placed.values()) / 10 for s in placed)
 
 
 def test_small_groups_stay_together(spark):

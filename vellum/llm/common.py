@@ -7,6 +7,7 @@ in Python (on UTF-8) and ``WORD`` in Spark's regex functions.
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import tempfile
 import uuid
@@ -26,9 +27,12 @@ def by_value(module_name: str) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The shared folder named in ``spark.checkpoint.dir``. Where it is unset, a local master gets a
+    temporary one; a cluster must name one, as its executors share no local folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -41,7 +45,23 @@ def persist(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/vellum/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.scratch_path = path
+    return kept
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that ``persist`` wrote. Nothing may read them any more."""
+    for df in tables:
+        _forget(df.sparkSession, df.scratch_path)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores added until ``df`` has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def _forget(spark: SparkSession, path: str) -> None:

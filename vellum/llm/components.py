@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import persist
+from vellum.llm.common import free, persist
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,14 +22,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = persist(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("to")), "step")
         if total is None:
-            total = step.withColumnRenamed("to", "root")
+            total = persist(step.withColumnRenamed("to", "root"), "roots")
         else:
             moved = total.join(step.withColumnRenamed("node", "root"), "root", "left")
-            total = persist(moved.select("node", F.coalesce("to", "root").alias("root")), "roots")
+            total, old = persist(moved.select("node", F.coalesce("to", "root").alias("root")), "roots"), total
+            free(old)
         a, b = (step.select(F.col("node").alias(x), F.col("to").alias(f"{x}2")) for x in ("a", "b"))
         half = edges.join(a, "a").select("a2", "b")
         mapped = half.join(b, "b").where("a2 <> b2")
-        edges = persist(mapped.select(F.greatest("a2", "b2").alias("a"), F.least("a2", "b2").alias("b")).distinct(), "edges")
+        edges, old = persist(mapped.select(F.greatest("a2", "b2").alias("a"), F.least("a2", "b2").alias("b")).distinct(), "edges"), edges
+        free(old, step)
     if total is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return total

@@ -34,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import simhash_dedup
-from vellum.llm.common import LOWER, UPPER, bounded, by_value, persist
+from vellum.llm.common import LOWER, UPPER, bounded, by_value, free, free_name, persist
 from vellum.llm.components import connected_components
 from vellum.llm.substring_dedup import rolling, word_codes
 
 WIDTH, SIMILARITY = 5, (4, 5)  # the similarity as a fraction
 BANDS, ROWS = 32, 6
-MOST_WANTED = 200_000
+MOST_WANTED = 200_000  # rows of a pair of ids and hashes in a broadcast
+SALTS = 8  # pieces of a band when its leader is joined to its members by shuffle
 ROUNDS, YIELD, BUCKET_BITS = 8, 4, 17
 BUCKETS = 1 << BUCKET_BITS
 _BATCH = 256  # rows with a whole text or its set in one Arrow batch
@@ -156,9 +157,19 @@ def _persist_batched(df: DataFrame, label: str) -> DataFrame:
         conf.set(key, before)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` for a broadcast if it is counted to be small."""
+    return F.broadcast(df) if bounded(df, MOST_WANTED) else df
+
+
 def _verify(pairs: DataFrame, grams: DataFrame, label: str) -> DataFrame:
-    x, y = (grams.select(F.col("node").alias(n), F.col("grams").alias(g)) for n, g in (("a", "x"), ("b", "y")))
-    return _persist_batched(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), label)
+    """The pairs (a, b) whose sets have the similarity. Only sets of nodes on a pair move: a's to b, where
+    each b's set (one for all members of a leader) arrives once."""
+    small = _small(pairs)
+    x = grams.join(small.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), "b", F.col("grams").alias("x"))
+    wanted = _small(pairs.select(F.col("b").alias("node")).distinct())
+    y = grams.join(wanted, "node", "left_semi").select(F.col("node").alias("b"), F.col("grams").alias("y"))
+    return _persist_batched(x.join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), label)
 
 
 def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
@@ -180,13 +191,19 @@ def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
 def _leader_pairs(unsettled: DataFrame, k: int) -> DataFrame:
     """Each member of a band with the band's leader of round ``k``, if that is of another component."""
     leader = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("draw"), "node", "size", "root"))
-    led = unsettled.join(unsettled.groupBy("key").agg(leader.alias("l")), "key").where((F.col("root") != F.col("l.root")) & _allowed("size", "l.size"))
+    leaders = persist(unsettled.groupBy("key").agg(leader.alias("l")), "leaders")
+    if bounded(leaders, MOST_WANTED):
+        led = unsettled.join(F.broadcast(leaders), "key")
+    else:  # a band may hold a third of all nodes, so its members are joined in pieces
+        pieces = leaders.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        led = unsettled.withColumn("piece", F.pmod("node", F.lit(SALTS)).cast("int")).join(pieces, ["key", "piece"])
+    led = led.where((F.col("root") != F.col("l.root")) & _allowed("size", "l.size"))
     return led.select(F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b")).distinct()
 
 
 def _prefix_pairs(unsettled: DataFrame, grams: DataFrame) -> DataFrame:
     """All pairs of these nodes that are of different components and may have the similarity."""
-    held = _persist_batched(unsettled.select("node", "size", "root").distinct().join(grams, "node"), "unsettled-sets")
+    held = _persist_batched(_small(persist(unsettled.select("node", "size", "root").distinct(), "unsettled-nodes")).join(grams, "node"), "unsettled-sets")
     counted = held.select("grams").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
     often = np.zeros(BUCKETS, np.int32)
     often[counted["bucket"].to_numpy(np.int64)] = np.minimum(counted["n"].to_numpy(np.int64), np.iinfo(np.int32).max)
@@ -202,11 +219,14 @@ def _prefix_pairs(unsettled: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """``node, root`` with the components joined that these links join."""
+    """``node, root`` with the components joined that these links join; ``roots`` and ``links`` are freed."""
     a, b = (roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in ("a", "b"))
     edges = links.join(a, "a").join(b, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
-    moved = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return persist(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "node-roots")
+    found = connected_components(edges)
+    moved = found.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    merged = persist(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "node-roots")
+    free(roots, links, found)
+    return merged
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -216,42 +236,59 @@ def groups(docs: DataFrame) -> DataFrame:
     nodes = rows.groupBy("node").agg(F.min(F.struct("text_hash", "doc_id", "fp")).alias("one"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = persist(nodes.select("node", "size", "keys", "one.*"), "nodes")
 
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", F.explode("keys").alias("key")).repartition("key")  # one exchange for both uses
     shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").drop("last")
-    members = persist(keyed.join(shared, "key"), "members")
+    members = persist(keyed.join(shared, "key").join(nodes.select("node", "size"), "node"), "members")
     star = members.where("node <> leader").groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b"))
     sizes = [nodes.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size")) for x in ("a", "b")]
-    pairs = star.unionByName(_fingerprint_pairs(nodes)).distinct().join(sizes[0], "a").join(sizes[1], "b")
+    pairs = _small(persist(star.unionByName(_fingerprint_pairs(nodes)).distinct(), "candidates")).join(sizes[0], "a").join(sizes[1], "b")
     pairs = persist(pairs.where(_allowed("a_size", "b_size")).select("a", "b"), "pairs")
 
-    wanted = members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct().join(nodes, "node")
+    wanted = _small(persist(members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct(), "wanted-nodes")).join(nodes, "node")
     wanted = persist(wanted.select("node", F.col("doc_id").alias("one_id"), F.col("text_hash").alias("one_hash")), "wanted")
-    wanted = F.broadcast(wanted) if bounded(wanted, MOST_WANTED) else wanted
-    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].cast("long").eqNullSafe(wanted["one_id"]) & (F.xxhash64(docs["text"]) == wanted["one_hash"]))
-    grams = _persist_batched(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets, "node long, grams binary"), "grams")
-
-    roots = connected_components(_verify(pairs, grams, "links"))
-    roots = persist(wanted.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "node-roots")
+    near = _small(wanted)
+    named = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_hash"), "text")
+    texts = named.join(near, F.col("own_id").eqNullSafe(F.col("one_id")) & (F.col("own_hash") == F.col("one_hash"))).select("node", "text")
+    repeated = not rows.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
+    texts = texts.dropDuplicates(["node"]) if repeated else texts
+    grams = _persist_batched(texts.mapInArrow(_sets, "node long, grams binary"), "grams")
+
+    links = _verify(pairs, grams, "links")
+    found = connected_components(links)
+    roots = persist(wanted.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "node-roots")
+    free(found, links, pairs)
     unsettled = _unsettled(members, roots)
     for k in range(ROUNDS):
         links = _verify(_leader_pairs(unsettled, k), grams, "more-links")
-        roots = _merged(roots, links)
+        few = YIELD * links.count() < unsettled.select("node").distinct().count()
+        roots, old = _merged(roots, links), unsettled
         unsettled = _unsettled(members, roots)
-        if YIELD * links.count() < unsettled.select("node").distinct().count():
+        free(old)
+        if few:
             break  # what is left is mostly unlike: for the prefix join
-    roots = _merged(roots, _verify(_prefix_pairs(unsettled, grams), grams, "last-links"))
-    return rows.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    roots = _merged(roots, _verify(persist(_prefix_pairs(unsettled, grams), "prefix-pairs"), grams, "last-links"))
+    out = rows.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    out = persist(out, "groups")
+    free(rows, nodes, members, wanted, grams, unsettled, roots)
+    return out
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay."""
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
-    kept = persist(groups(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")), "kept")
-    left = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (F.xxhash64(docs["text"]) == kept["kept_hash"]), "left_semi")
-    number = "kept row"
-    numbered = left.select("*", F.xxhash64("text").alias(number))
-    repeated = not numbered.groupBy("doc_id", number).count().where("count > 1").isEmpty()
-    return numbered.dropDuplicates(["doc_id", number]).drop(number) if repeated else left
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    found = groups(docs)
+    kept = persist(found.groupBy("root").agg(first.alias("first")), "kept")
+    gone = found.join(kept.select("root", F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")), "root")
+    gone = gone.where(~(F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))))
+    gone = persist(gone.select("doc_id", "text_hash").distinct(), "gone")
+    repeated = not found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
+    free(found, kept)
+    own_id, own_hash = free_name(docs, "own_id"), free_name(docs, "own_hash")
+    gone = _small(gone.select(F.col("doc_id").alias("gone id"), F.col("text_hash").alias("gone hash")))
+    named = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_hash: F.xxhash64("text")})
+    left = named.join(gone, named[own_id].eqNullSafe(gone["gone id"]) & (named[own_hash] == gone["gone hash"]), "left_anti")
+    left = left.dropDuplicates([own_id, own_hash]) if repeated else left
+    return left.select(*docs.columns)
 
 
 by_value(__name__)

@@ -7,8 +7,10 @@ their weights, and those are compiled into one column expression: all documents
 by generated JVM code, in one scan without a shuffle.
 
 Defined results: null text counts as empty and gets the score of its (zero) statistics; labels that
-are null or meet no document are left out; repeated rows of either table count each; with one class
-only, the score is that class's share, smoothed; extra columns are ignored; an empty table gives an
+are null or meet no document are left out; repeated rows of either table count each (up to ``4 * SAMPLE``
+pairs, drawn by hash of their statistics); with one class
+only, the score is that class's share, smoothed; rules whose thresholds a statistic ties with hold on the lower side; a very
+long text is read whole; extra columns are kept by ``score``, whose own column replaces one of its name; an empty table gives an
 empty result. Ids, language, source and labels are never inputs of a score.
 """
 
@@ -148,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Rules:
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("label_id"), F.col("quality").alias("label"))
     known = persist(known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(SAMPLE), "known")
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))  # at most SAMPLE labels
-    rows = rows.select("label", statistics(F.col("text")).alias("s")).select("label", "s.*").orderBy(*STATISTICS, "label").limit(4 * SAMPLE).toPandas()
+    rows = rows.select("label", statistics(F.col("text")).alias("s")).select("label", "s.*").orderBy(F.xxhash64(*STATISTICS, "label"), *STATISTICS, "label").limit(4 * SAMPLE).toPandas()
     return fit_rules(rows[list(STATISTICS)].to_numpy(float), (rows["label"].to_numpy() == 1).astype(float))
 
 

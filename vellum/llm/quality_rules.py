@@ -13,7 +13,8 @@ partial row a task; only fallen hosts are joined back (broadcast up to ``MOST_HO
 
 Defined results: null text has no words (and so fails); a null host is a host of its own; repeated
 rows are judged and counted separately; an empty table gives an empty result; ``judge`` ignores
-extra columns and ``keep`` keeps them.
+extra columns and ``keep`` keeps them, whatever their names; a very long text is judged whole, in time n log n of its
+words; hosts with equal rates stand or fall together.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import SPACE, WORD, bounded, let, persist, table
+from vellum.llm.common import SPACE, WORD, bounded, free_name, let, persist, table
 
 MIN_WORDS, MOST_REPEATED = 50, 50  # words; percent of words in repeated windows
 WINDOW, HOST_LIMIT, BOUND, MOST_HOSTS = 3, 0.9, 2.0, 10_000
@@ -102,26 +103,31 @@ def fallen_hosts(judged: DataFrame, host: str = "source", failed: str = "failed"
     return persist(hosts.where(low > HOST_LIMIT).select("fallen_host"), "fallen")
 
 
-def _joined(rows: DataFrame, fallen: DataFrame, host: str) -> DataFrame:
-    small = bounded(fallen, MOST_HOSTS)
-    marked = fallen.withColumn("host_falls", F.lit(True))
-    return rows.join(F.broadcast(marked) if small else marked, rows[host].eqNullSafe(marked["fallen_host"]), "left").drop("fallen_host")
+def _joined(rows: DataFrame, fallen: DataFrame, host: str, how: str) -> DataFrame:
+    """Rows of fallen hosts (``left_semi``) or of the others (``left_anti``)."""
+    marked = fallen.select(F.col("fallen_host").alias("fallen host"))
+    marked = F.broadcast(marked) if bounded(marked, MOST_HOSTS) else marked
+    return rows.join(marked, rows[host].eqNullSafe(marked["fallen host"]), how)
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """One row a document: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, host``."""
     rows = persist(docs.select("doc_id", F.col("source").alias("host"), rule_counts(F.col("text")).alias("rule")).select("doc_id", "host", "rule.*"), "counts")
-    rows = _joined(rows, fallen_hosts(rows, "host"), "host")
+    fallen = fallen_hosts(rows, "host").withColumnRenamed("fallen_host", "fallen host")
+    fallen = F.broadcast(fallen) if bounded(fallen, MOST_HOSTS) else fallen
+    rows = rows.join(fallen.withColumn("falls", F.lit(True)), rows["host"].eqNullSafe(fallen["fallen host"]), "left")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return rows.select("doc_id", *counts, F.col("failed").alias("base_failed"), (~F.col("failed") & F.col("host_falls").isNull()).alias("kept"), "host")
+    return rows.select("doc_id", *counts, F.col("failed").alias("base_failed"), (~F.col("failed") & F.col("falls").isNull()).alias("kept"), "host")
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass: two scans of the texts, none of them shuffled."""
-    fallen = fallen_hosts(docs.select("source", rule_counts(F.col("text"))["failed"].alias("failed")), "source")
-    good = docs.where(~rule_counts(docs["text"])["failed"])
-    return _joined(good, fallen, "source").where("host_falls IS NULL").select(*[good[c] for c in docs.columns])
+    """The rows of ``docs`` that pass. Every text is judged once: rows are written with the flag, which the hosts'
+    counts then read alone."""
+    failed = free_name(docs, "rule_failed")
+    flagged = persist(docs.withColumn(failed, rule_counts(F.col("text"))["failed"]), "flagged")
+    good = flagged.where(~F.col(failed))
+    return _joined(good, fallen_hosts(flagged, "source", failed), "source", "left_anti").select(*docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ Only built-in DataFrame functions run here, and texts are never shuffled: hash,
 
 Defined results: null text counts 0 bytes (plus ``OVERHEAD``) and hashes like an empty one; repeated
 rows are placed separately, ties in (hash, id) in any order; an empty table gives an empty result;
-``assign`` ignores extra columns, ``add_shards`` keeps them (its own columns replace clashing ones).
+``assign`` ignores extra columns, ``add_shards`` keeps them (its own columns replace clashing ones). A very long
+text is one row of its size: shards are balanced to within the largest row.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import persist, table
+from vellum.llm.common import free_name, persist, table
 
 SHARDS, OVERHEAD, SNAP, ROWS_A_PART = 40, 16, 0.02, 1_000_000
 
@@ -74,16 +75,37 @@ def assign(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, snap
 
 
 def add_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The rows of ``docs`` with ``shard``; rows with the same id and text share one count of slots,
-    so they are numbered together and dealt out again by position."""
-    placed = assign(docs, shards).withColumnsRenamed({"doc_id": "placed_id", "text_hash": "placed_hash"})
-    copies = Window.partitionBy("placed_id", "placed_hash").orderBy("shard", "slot")
-    placed = placed.withColumn("copy", F.row_number().over(copies)).select("placed_id", "placed_hash", "copy", "size", "text_crc32", "shard", "slot")
-    new = ["size", "text_crc32", "shard", "slot"]
-    rows = docs.drop(*new).withColumn("placed_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("copy_no", F.row_number().over(Window.partitionBy("doc_id", "placed_text").orderBy("placed_text")))
-    same = rows["doc_id"].cast("long").eqNullSafe(placed["placed_id"]) & (rows["placed_text"] == placed["placed_hash"]) & (rows["copy_no"] == placed["copy"])
-    return rows.join(placed, same).select(*docs.drop(*new).columns, *new)
+    """The rows of ``docs`` with ``size``, ``text_crc32`` and ``shard`` (columns of these names are replaced, all
+    others kept). Shards are contiguous in (text hash, checksum, size, id), so ``assign``'s are given back by
+    their first keys, at most one a shard, as literals: no text is moved. Rows equal in all of the key that a
+    cut falls between are dealt to their shards by row position, in the proportion that ``assign`` found."""
+    placed = assign(docs, shards)
+    key = F.struct("text_hash", "text_crc32", "size", "doc_id")
+    placed = persist(placed.groupBy("shard").agg(F.min(key).alias("k")), "first-keys"), placed
+    firsts = sorted(placed[0].collect(), key=lambda r: r.shard)  # at most `shards` rows
+    new = ["size", "text_crc32", "shard"]
+    text, position = F.coalesce("text", F.lit("")), free_name(docs, "own_key")
+    rows = docs.drop(*new).withColumns({"size": (F.octet_length(text) + OVERHEAD).cast("long"), "text_crc32": F.crc32(text)})
+    if not firsts:
+        return rows.withColumn("shard", F.lit(None).cast("int")).select(*docs.drop(*new).columns, *new)
+    rows = rows.withColumn(position, F.struct(F.xxhash64(text).alias("text_hash"), "text_crc32", "size", F.col("doc_id").cast("long").alias("doc_id")))
+    literal = lambda k: F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(k.__fields__, k, strict=True)])
+    shard = F.coalesce(*[F.when(F.col(position) >= literal(r.k), F.lit(r.shard)) for r in reversed(firsts)])
+    # keys on both sides of a cut: those of a first row that also end the shard before
+    on_cut = placed[1].select("shard", key.alias("k")).where(F.col("k").isin(*[literal(r.k) for r in firsts]))
+    spread: dict = {}
+    for r in sorted(on_cut.groupBy("k", "shard").count().collect(), key=lambda r: r.shard):  # at most two a cut
+        spread.setdefault(tuple(r.k), []).append((r.k, r.shard, r["count"]))
+    draw = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30)
+    for held in spread.values():
+        if len(held) > 1:
+            total, upto, dealt = sum(n for _, _, n in held), 0, None
+            for _, s, n in held:
+                upto += n
+                test = draw < upto / total
+                dealt = F.when(test, F.lit(s)) if dealt is None else dealt.when(test, F.lit(s))
+            shard = F.when(F.col(position) == literal(held[0][0]), dealt.otherwise(F.lit(held[-1][1]))).otherwise(shard)
+    return rows.withColumn("shard", shard.cast("int")).select(*docs.drop(*new).columns, *new)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ Defined results: a null url or one without ``://`` has empty host and path, fits
 judged as host '' like any other; ports and user names are part of the host; every label row is
 an outcome, repeated ones too; null label values count as good; hosts without labelled pages take
 their domain's posterior; an empty table gives an empty result; extra columns are ignored by
-``judge_urls`` and kept by ``allowed``.
+``judge_urls`` and kept by ``allowed``, whatever their names; a very long url is parsed whole; of fitting
+rules of equal length the first listed decides. Outcomes of pages are the rows of ``labels`` whose ``doc_id`` is the page's id.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import bounded, lower_az, persist, table
+from vellum.llm.common import bounded, free_name, lower_az, persist, table
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 LIMIT, BOUND, MOST_HOSTS = 0.5, 2.0, 10_000
@@ -81,26 +82,30 @@ def blocked_hosts(pages: DataFrame, labels: DataFrame) -> DataFrame:
         above = own.select(*LEVELS[: level + 1], mean.alias("prior"))
 
 
-def _judged(pages: DataFrame, labels: DataFrame) -> DataFrame:
+def _judged(pages: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``pages`` with host, path, rule and verdict, and the names of these four: ones that ``pages`` doesn't have."""
     host, path = url_parts(F.col("url"))
-    rows = pages.withColumns({"url_host": host, "url_path": path})
-    rule, says = rule_columns(F.col("url_host"), F.col("url_path"))
-    blocked = blocked_hosts(pages, labels)
+    own = [free_name(pages, f"url_{x}") for x in ("host", "path", "rule", "verdict")]
+    rows = pages.withColumns(dict(zip(own[:2], (host, path), strict=True)))
+    rule, says = rule_columns(F.col(own[0]), F.col(own[1]))
+    blocked = blocked_hosts(pages.select("page_id", "url"), labels).withColumnRenamed("blocked_host", free_name(pages, "blocked_host"))
+    name = blocked.columns[0]
     blocked = F.broadcast(blocked) if bounded(blocked, MOST_HOSTS) else blocked
-    rows = rows.join(blocked, F.col("url_host") == F.col("blocked_host"), "left")
-    by_host = F.when(F.col("blocked_host").isNotNull(), "block").otherwise("allow")
-    return rows.withColumns({"url_rule": rule, "url_verdict": F.coalesce(says, by_host)})
+    rows = rows.join(blocked, rows[own[0]] == blocked[name], "left")
+    by_host = F.when(F.col(name).isNotNull(), "block").otherwise("allow")
+    return rows.withColumns({own[2]: rule, own[3]: F.coalesce(says, by_host)}), own
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """``page_id, host, path, rule, verdict``."""
-    rows = _judged(pages.select("page_id", "url"), labels)
-    return rows.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"))
+    rows, own = _judged(pages.select("page_id", "url"), labels)
+    return rows.select("page_id", *[F.col(x).alias(n) for x, n in zip(own, ("host", "path", "rule", "verdict"), strict=True)])
 
 
 def allowed(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``pages`` that are allowed."""
-    return _judged(pages, labels).where("url_verdict = 'allow'").select(*pages.columns)
+    rows, own = _judged(pages, labels)
+    return rows.where(F.col(own[3]) == "allow").select(*pages.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
