@@ -96,13 +96,15 @@ def add_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     spread: dict = {}
     for r in sorted(on_cut.groupBy("k", "shard").count().collect(), key=lambda r: r.shard):  # at most two a cut
         spread.setdefault(tuple(r.k), []).append((r.k, r.shard, r["count"]))
-    draw = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30)
+    draw = free_name(rows, "own_draw")
+    if any(len(held) > 1 for held in spread.values()):
+        rows = rows.withColumn(draw, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30))
     for held in spread.values():
         if len(held) > 1:
             total, upto, dealt = sum(n for _, _, n in held), 0, None
             for _, s, n in held:
                 upto += n
-                test = draw < upto / total
+                test = F.col(draw) < upto / total
                 dealt = F.when(test, F.lit(s)) if dealt is None else dealt.when(test, F.lit(s))
             shard = F.when(F.col(position) == literal(held[0][0]), dealt.otherwise(F.lit(held[-1][1]))).otherwise(shard)
     return rows.withColumn("shard", shard.cast("int")).select(*docs.drop(*new).columns, *new)
