@@ -33,5 +33,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges, old = persist(mapped.select(F.greatest("a2", "b2").alias("a"), F.least("a2", "b2").alias("b")).distinct(), "edges"), edges
         free(old, step)
     if total is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        total = persist(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "roots")
+    free(edges)
     return total
