@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
 from vellum.llm import decontamination as D
 
@@ -39,6 +41,54 @@ def test_a_leak_with_its_halves_swapped(spark):
     assert {(r.doc_id, r.item_id, r.similarity, r.start_word) for r in got} == {(1, 7, best[0], -best[1]), (2, 7, best[0], 0)} and best == (52 / 60, -17)
 
 
+def test_fingerprints_and_index(spark):
+    """Fingerprints of few and many hashes, and every pair within the radius meeting in exactly one first block."""
+    rng = random.Random(1)
+    hashes = [[rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)] for n in (1, 2, 9, 127, 128, 300, 40_000)]
+    got = spark.createDataFrame([(k, h) for k, h in enumerate(hashes)], "k long, h array<long>").select("k", D._simhash(F.col("h")).alias("fp")).collect()
+    for r in got:
+        h = hashes[r.k]
+        assert r.fp % (1 << 64) == sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+    base = rng.randrange(1 << 63)
+    flipped = [(k, base ^ sum(1 << b for b in rng.sample(range(63), k % 26))) for k in range(300)]
+    items = spark.createDataFrame([(1, 9, base)], "item_id long, n int, fp long")
+    near = spark.createDataFrame(flipped, "k long, fp long").select("*", F.posexplode(F.array(*[D._block(F.col("fp"), j) for j in range(len(D.BLOCKS))])).alias("block", "code"))
+    met = {r.k for r in near.join(D._index(items), ["block", "code"]).collect()}
+    assert {k for k, _ in flipped if k % 26 <= D.RADIUS} <= met
+
+
+def test_recall_against_all_windows(spark):
+    """Passages near the similarity: everything that a comparison of all windows finds."""
+    rng = random.Random(3)
+    items = {k: [f"i{k}w{rng.randrange(30)}" for _ in range(rng.choice((12, 30, 60)))] for k in range(30)}
+    docs = []
+    for k in range(60):
+        w = list(items[k % 30])
+        for _ in range(rng.randrange(3)):  # words replaced, near the ends more often
+            w[rng.choice((0, 1, 2, -1, -2, rng.randrange(len(w))))] = "changed"
+        docs.append((k, [f"n{rng.randrange(9999)}" for _ in range(rng.randrange(30))] + w + [f"n{rng.randrange(9999)}" for _ in range(rng.randrange(30))]))
+    want = {}
+    for d, w in docs:
+        for i, x in items.items():
+            need = Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4))
+            for start in range(-len(x), len(w)):
+                have = Counter(tuple(c[k : k + 5]) for c in (w[max(start, 0) : start + len(x)],) for k in range(len(c) - 4))
+                common = sum((need & have).values())
+                if common and (s := common / sum((need | have).values())) >= D.SIMILARITY and s > want.get((d, i), (0, 0))[0]:
+                    want[d, i] = (s, max(start, 0))
+    frames = [spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{n} long, text string") for rows, n in ((docs, "doc_id"), (items.items(), "item_id"))]
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in D.leaks(*frames).collect()}
+    assert len(want) > 20 and got == want
+
+
+def test_very_long_text_and_clashing_names(spark):
+    item = [f"q{k}" for k in range(40)]
+    docs = spark.createDataFrame([(1, " ".join([f"n{k}" for k in range(100_000)] + item), 7, 8), (2, "clean", 7, 8)], "doc_id long, text string, own_id int, leak_hash int")
+    items = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    assert [(r.doc_id, r.start_word) for r in D.leaks(docs, items).collect()] == [(1, 100_000)]
+    assert [tuple(r) for r in D.remove_leaks(docs, items).collect()] == [(2, "clean", 7, 8)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
