@@ -1,51 +1,64 @@
 """LM scoring (operator 6): a hashed maximum-entropy model with a class-factored softmax.
 
-    P(word | history) = P(class | history) * P(word | class)
-
-P(class | history) is a softmax over ``CLASSES`` classes whose logits sum one weight row a feature;
-the features are hashes of the word before, the two before (n-gram), the second before (skip) and
-the classes of the third and second before (skip). The most frequent words are classes of their own, other
-words fall into classes by spelling (clusters of letter pairs) and frequency. P(word | class) is the
-word's share of the class's training tokens, less the class's Good-Turing share of unseen words;
-the unseen word's probability is the mixture of those shares, so that all known words and the one
+    P(word | history) = P(class | history) * P(leaf | class, history) * P(word | leaf)
+
+Both softmaxes have 32 outcomes, whose logits sum one hashed weight row a feature: the word before, the two before
+(n-gram), the second before (skip) and the classes of the second and third before (skip); inside a class the row is
+hashed with the class. Classes are clusters of words by spelling (letter pairs), those of frequent words (a millionth of
+all tokens or more) apart. A frequent class's ``OWN`` most frequent words are leaves of their own; all other words fall
+into leaves by hash. P(word | leaf) is the word's share of the leaf's training tokens, less the class's Good-Turing share
+of unseen words; the unseen word's probability is the mixture of those shares, so that all known words and the one
 unseen word sum to 1.
 
-Plan. Texts are dealt into groups of about 6 MB. A group sends each of its distinct words, as a hash with
-its training count there, to a bucket of the vocabulary; buckets sum the counts over the corpus and
-answer each group, so no vocabulary is ever gathered, and a word that all documents share costs a
-row a group. The buckets keep their training words, over which k-means fits the spelling clusters: every
-word by its count, as integer sums a pass. Training is iterative parameter mixing: groups are dealt to
-rounds, run Adagrad over minibatches of every position of their training documents, weights are averaged by
-Spark in two levels, and only the average (2 MB) meets the driver. A last pass scores whole texts in sparse
-numpy batches. Every training token gives one gradient and counts.
-
-Defined results: null and empty texts are one end token; repeated rows are separate documents and
-each counts in training; a null ``doc_id`` counts as the id text ''; with no training documents every
-score is 0; extra columns are ignored; an empty table gives an empty result.
+Plan. Texts are split once, in the partitions they lie in, into groups of about 6 MB; nothing is dealt by a key, so no
+key is hot. A group is written as its distinct words and its tokens as numbers into them; and it sends each distinct
+word, as a hash with its training count there, to a bucket of the vocabulary. Buckets grow with the corpus; a group sends
+rows only to buckets that it has words of, so rows grow with the corpus too, never with its square. Buckets sum the
+counts over the corpus and answer each group, so no vocabulary is ever gathered. Over the buckets' training words k-means
+fits the spelling clusters: every word by its count, as integer sums a pass. Groups and answers meet once in a written
+table, which the ``ROUNDS`` of training and the scoring then read without a shuffle: iterative parameter mixing. In a
+round every task runs Adagrad over minibatches of every position of its training documents, deltas are averaged by
+tokens, in Spark in two levels, and only the average meets the driver. The last pass scores in sparse numpy batches.
+
+Weight rows a feature kind (``slots``) double with each fourfold corpus beyond ``FULL`` tokens, up to ``MOST_SLOTS``, so that
+a model (two tables of ``FEATURES`` kinds) stays between 4 and 64 MB; beyond that more histories share a row.
+
+Defined results: null and empty texts are one end token; a very long text is a group of its own; repeated rows are
+separate documents and each counts in training; words of equal counts are ordered by hash; a null ``doc_id`` counts as
+the id text ''; with no training documents every score is 0; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import LOWER, UPPER, by_value, persist, remainder, table, text_groups
+from vellum.llm.common import LOWER, UPPER, by_value, free, persist, remainder, table, text_groups
 
-OWN, CLUSTERS, TIER = 31, 16, 64
-CLASSES = OWN + 2 * CLUSTERS + 1
-SLOTS, FEATURES, ROUNDS, BATCH, RATE = 2048, 4, 2, 8192, 0.15
-SCORED = 1024  # tokens scored at once: their logits stay in a core's cache
-PAIRS, PASSES, UNIT = 509, 12, 1 << 20  # k-means over letter pairs, in sums of 1 / UNIT
+CLUSTERS, LEAVES, OWN, TOP = 16, 32, 24, 1024
+CLASSES = 2 * CLUSTERS
+SLOTS, MOST_SLOTS, FULL = 1 << 12, 1 << 16, 1 << 28
+FEATURES, ROUNDS, BATCH, RATE, COMMON = 4, 1, 4096, 0.15, 20
+PAIRS, PASSES, UNIT = 509, 3, 1 << 20  # k-means over letter pairs, in sums of 1 / UNIT
+GROUP = 6 << 20
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _END = b" "  # no word contains a space
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_NEVER = -60.0  # logit of an outcome that has no training token
+
+
+def slots(tokens: int) -> int:
+    return min(MOST_SLOTS, SLOTS << ((int(tokens) // FULL).bit_length() + 1) // 2)
 
 
 class Tokens:
-    """The tokens of some texts: ``ids`` into ``words``, ``ends`` of the texts; ``train`` marks texts to learn from."""
+    """The tokens of some texts: ``ids`` into ``words``, ``lengths`` of the texts; ``train`` marks tokens to learn from."""
 
     def __init__(self, texts: list, train: np.ndarray):
         vocab: dict[bytes, int] = {_END: 0}
@@ -56,38 +69,60 @@ class Tokens:
                 vocab[w] = len(vocab)
             ids.append(np.fromiter(map(vocab.__getitem__, words), np.int32, len(words)))
             ids.append(np.zeros(1, np.int32))
-        self.words = list(vocab)
-        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        self.lengths = np.array([len(x) + 1 for x in ids[::2]], np.int64)
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        order = np.argsort(-np.bincount(ids, minlength=len(vocab)), kind="stable")  # frequent words get small numbers
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order))
+        words = list(vocab)
+        self.words, self.ids = [words[k] for k in order], number[ids]
+        self.lengths = np.diff(np.flatnonzero(np.concatenate([[True], ids == 0])))
         self.train = np.repeat(train, self.lengths)
         self.codes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), np.uint64, len(self.words))
 
-    def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Words ordered by bucket, and where each bucket begins."""
-        with np.errstate(over="ignore"):
-            of = (self.codes * _M2 >> np.uint64(24)) % np.uint64(n)
-        order = np.argsort(of, kind="stable")
-        return order, np.searchsorted(of[order], np.arange(n + 1))
 
-
-def _tokens(rows: pa.Table) -> tuple[Tokens, pa.Table]:
-    rows = rows.take(rows.column("at").to_numpy().argsort(kind="stable"))
-    return Tokens(rows.column("text").to_pylist(), rows.column("train").to_numpy(zero_copy_only=False)), rows
+def _by_bucket(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words ordered by bucket; the buckets that have any, and where each begins."""
+    with np.errstate(over="ignore"):
+        of = (codes * _M2 >> np.uint64(24)) % np.uint64(n)
+    order = np.argsort(of, kind="stable")
+    full, begin = np.unique(of[order], return_index=True)
+    return order, full.astype(np.int64), np.append(begin, len(order))
+
+
+_ASKED = "g long, bucket int, codes binary, counts binary, learnt binary, ids binary, words binary, lengths binary, train binary, doc_ids array<long>"
+
+
+def _asked(g: int, doc_ids: list, texts: list, train: list, buckets: int) -> pa.RecordBatch:
+    """A group's own row (bucket -1), and one row a bucket that it has words of."""
+    train = np.array(train, bool)
+    t = Tokens(texts, train)
+    counts = np.bincount(t.ids[t.train], minlength=len(t.words)).astype(np.uint32)
+    order, full, begin = _by_bucket(t.codes, buckets)
+    parts = [order[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    none = [None] * len(parts)
+    planes = t.ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()  # bytes of equal weight together: they compress
+    return pa.RecordBatch.from_pydict({
+        "g": pa.array([g] * (len(parts) + 1), pa.int64()), "bucket": pa.array([-1, *full.tolist()], pa.int32()),
+        "codes": pa.array([t.codes.tobytes(), *(t.codes[p].tobytes() for p in parts)], pa.binary()), "counts": pa.array([None, *(counts[p].tobytes() for p in parts)], pa.binary()),
+        "learnt": pa.array([None, *(b"\n".join([t.words[k] for k in p if counts[k]]) for p in parts)], pa.binary()),
+        "ids": pa.array([planes, *none], pa.binary()), "words": pa.array([b"\n".join(t.words), *none], pa.binary()), "lengths": pa.array([t.lengths.tobytes(), *none], pa.binary()),
+        "train": pa.array([train.tobytes(), *none], pa.binary()), "doc_ids": pa.array([doc_ids, *none], pa.list_(pa.int64())),
+    })
 
 
-def _ask(buckets: int):
-    def ask(group: tuple, rows: pa.Table) -> pa.Table:
-        t, _ = _tokens(rows)
-        counts = np.bincount(t.ids[t.train], minlength=len(t.words)).astype(np.uint32)
-        order, cut = t.buckets(buckets)
-        full = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-        parts = [order[cut[b] : cut[b + 1]] for b in full]
-        learnt = [b"\n".join([t.words[k] for k in p if counts[k]]) for p in parts]
-        return pa.table({
-            "bucket": pa.array(full, pa.int32()), "g": pa.array([group[0].as_py()] * len(full), pa.int32()),
-            "codes": pa.array([t.codes[p].tobytes() for p in parts], pa.binary()), "counts": pa.array([counts[p].tobytes() for p in parts], pa.binary()),
-            "learnt": pa.array(learnt, pa.binary()),
-        })
+def _ask(buckets: int, most: int):
+    def ask(batches):
+        g, size, rows = TaskContext.get().partitionId() << 32, 0, ([], [], [])
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "train")), strict=True):
+                for column, x in zip(rows, row, strict=True):
+                    column.append(x)
+                size += len(row[1] or "")
+                if size >= most:
+                    yield _asked(g, *rows, buckets)
+                    g, size, rows = g + 1, 0, ([], [], [])
+        if rows[0]:
+            yield _asked(g, *rows, buckets)
 
     return ask
 
@@ -96,31 +131,23 @@ def _count(bucket: tuple, rows: pa.Table) -> pa.Table:
     """Answers to the groups, and one row (g = -1) of the bucket's sums and most frequent words."""
     codes = [np.frombuffer(x, np.uint64) for x in rows.column("codes").to_pylist()]
     counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("counts").to_pylist()])
-    known, at = np.unique(np.concatenate(codes), return_inverse=True)
+    every = np.concatenate(codes)
+    known, at = np.unique(every, return_inverse=True)
     total = np.bincount(at, counts, len(known)).astype(np.int64)
     cuts = np.cumsum([0, *map(len, codes)])
     answers = [total[at[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    top = np.argsort(-total, kind="stable")[:OWN]
     learnt = [w for x in rows.column("learnt").to_pylist() if x for w in x.split(b"\n")]  # in the order of counts above 0
-    _, first = np.unique(np.concatenate(codes)[counts > 0], return_index=True)
-    b = [bucket[0].as_py()] * (len(codes) + 1)
+    _, first = np.unique(every[counts > 0], return_index=True)
+    words, n = [learnt[k] for k in first], total[total > 0]
+    top = np.lexsort((known[total > 0], -n))[:TOP]
     none = [None] * len(codes)
     return pa.table({
-        "g": pa.array([*rows.column("g").to_pylist(), -1], pa.int32()), "bucket": pa.array(b, pa.int32()), "totals": pa.array([*answers, None], pa.binary()),
-        "n": pa.array([*none, int(total.sum())], pa.int64()), "v": pa.array([*none, int((total > 0).sum())], pa.int64()),
-        "top": pa.array([*none, [{"c": int(total[k]), "code": int(known[k]) - (1 << 63)} for k in top]], pa.list_(pa.struct([("c", pa.int64()), ("code", pa.int64())]))),
-        "words": pa.array([*none, b"\n".join([learnt[k] for k in first])], pa.binary()), "counts": pa.array([*none, total[total > 0].tobytes()], pa.binary()),
+        "g": pa.array([*rows.column("g").to_pylist(), -1], pa.int64()), "bucket": pa.array([bucket[0].as_py()] * (len(codes) + 1), pa.int32()), "totals": pa.array([*answers, None], pa.binary()),
+        "n": pa.array([*none, int(n.sum())], pa.int64()), "v": pa.array([*none, len(n)], pa.int64()), "top": pa.array([*none, [{"c": int(n[k]), "word": words[k]} for k in top]], pa.list_(pa.struct([("c", pa.int64()), ("word", pa.binary())]))),
+        "words": pa.array([*none, b"\n".join(words)], pa.binary()), "counts": pa.array([*none, n.tobytes()], pa.binary()),
     })
 
 
-def _totals(t: Tokens, answers: pa.Table, buckets: int) -> np.ndarray:
-    order, cut = t.buckets(buckets)
-    total = np.zeros(len(t.words), np.int64)
-    for b, x in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True):
-        total[order[cut[b] : cut[b + 1]]] = np.frombuffer(x, np.int64)
-    return total
-
-
 def _letter_pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed letter pairs of each word in a row, and where each word begins."""
     spaced = np.frombuffer(b"".join(b" %b " % w for w in words), np.uint8).astype(np.int64)
@@ -166,7 +193,7 @@ def _moved(centres: np.ndarray, sums: np.ndarray) -> np.ndarray:
 
 
 def fit_clusters(words: list[bytes], counts: np.ndarray | None = None) -> np.ndarray:
-    """Centres (pair by cluster), by k-means over these words."""
+    """Centres (pair by cluster), by k-means over these words, in plain numpy."""
     counts = np.ones(len(words), np.int64) if counts is None else counts
     centres = _first_centres(sorted(words, key=xxhash.xxh64_intdigest)[:CLUSTERS])
     for _ in range(PASSES):
@@ -174,28 +201,23 @@ def fit_clusters(words: list[bytes], counts: np.ndarray | None = None) -> np.nda
     return centres
 
 
-def _others(batches, own: set[int]):
-    """Training words of the buckets that aren't classes of their own, and their counts."""
+def _words(batches):
+    """Training words of the buckets, and their counts."""
     for batch in batches:
         for blob, n in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            words, counts = blob.split(b"\n") if blob else [], np.frombuffer(n, np.int64)
-            keep = [k for k, w in enumerate(words) if xxhash.xxh64_intdigest(w) not in own]
-            yield [words[k] for k in keep], counts[keep]
+            yield blob.split(b"\n") if blob else [], np.frombuffer(n, np.int64)
 
 
-def _lowest(own: set[int]):
-    def lowest(batches):
-        for words, _ in _others(batches, own):
-            found = sorted((xxhash.xxh64_intdigest(w) - (1 << 63), w) for w in words)[:CLUSTERS]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([w for _, w in found], pa.binary())], names=["code", "word"])
+def _lowest(batches):
+    for words, _ in _words(batches):
+        found = sorted((xxhash.xxh64_intdigest(w) - (1 << 63), w) for w in words)[:CLUSTERS]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([w for _, w in found], pa.binary())], names=["code", "word"])
 
-    return lowest
 
-
-def _shares(own: set[int], centres: np.ndarray):
+def _shares(centres: np.ndarray):
     def shares(batches):
         sums = np.zeros(PAIRS * CLUSTERS, np.int64)
-        for words, counts in _others(batches, own):
+        for words, counts in _words(batches):
             sums += _cluster_sums(words, counts, centres)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], names=["at", "v"])
@@ -203,150 +225,232 @@ def _shares(own: set[int], centres: np.ndarray):
     return shares
 
 
-def fit_to_all(sums: DataFrame, own: list[int]) -> np.ndarray:
+def fit_to_all(sums: DataFrame) -> np.ndarray:
     """``fit_clusters`` over the training words of all buckets (``words, counts``)."""
-    own, buckets = set(own), sums.select("words", "counts")
-    first = buckets.mapInArrow(_lowest(own), "code long, word binary").orderBy("code").limit(CLUSTERS).collect()
+    buckets = sums.select("words", "counts")
+    first = buckets.mapInArrow(_lowest, "code long, word binary").orderBy("code").limit(CLUSTERS).collect()
     centres = _first_centres([bytes(r.word) for r in first])
     for _ in range(PASSES if first else 0):
         total = np.zeros(PAIRS * CLUSTERS, np.int64)
-        for r in buckets.mapInArrow(_shares(own, centres), "at int, v long").groupBy("at").agg(F.sum("v").alias("v")).collect():  # PAIRS * CLUSTERS rows
+        for r in buckets.mapInArrow(_shares(centres), "at int, v long").groupBy("at").agg(F.sum("v").alias("v")).collect():  # PAIRS * CLUSTERS rows
             total[r["at"]] = r.v
         centres = _moved(centres, total)
     return centres
 
 
 class Model:
-    """What scoring needs; all of bounded size."""
-
-    def __init__(self, centres: np.ndarray, own: list[int]):
-        self.centres, self.own = centres, np.array(sorted(own), np.uint64)
-        self.weights = np.zeros((FEATURES * SLOTS, CLASSES), np.float32)
-        self.mass = np.zeros(CLASSES)
-        self.once = np.zeros(CLASSES)
-
-    def classes(self, t: Tokens, total: np.ndarray) -> np.ndarray:
-        of = OWN + clusters(t.words, self.centres) + CLUSTERS * (total >= TIER)
-        at = np.searchsorted(self.own, t.codes)
-        mine = (at < len(self.own)) & (self.own[np.minimum(at, max(0, len(self.own) - 1))] == t.codes) if len(self.own) else np.zeros(len(t.words), bool)
-        return np.where(mine, at, of).astype(np.int64)
-
-    def features(self, t: Tokens, of: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-        """Weight rows of the features of the tokens (at these positions), a column a feature; a text begins after end tokens."""
-        at = np.arange(len(t.ids)) if at is None else at
-        place = (np.arange(len(t.ids)) - np.repeat(np.cumsum(t.lengths) - t.lengths, t.lengths))[at]
-        back = [np.where(place < k, 0, t.ids[at - k]) for k in (1, 2, 3)]  # before the first token is what 0 stands for
-        codes, of = t.codes, of.astype(np.uint64)
-        one, two = codes[back[0]], codes[back[1]]
-        with np.errstate(over="ignore"):
-            rows = [one, one * _M1 ^ (two * _M2 >> np.uint64(7)), two, of[back[0]] + of[back[1]] * np.uint64(131) + of[back[2]] * np.uint64(17161)]
-            mixed = [(((r ^ (r >> np.uint64(32))) * _M1 >> np.uint64(40)) % np.uint64(SLOTS) + np.uint64(k * SLOTS)).astype(np.int64) for k, r in enumerate(rows)]
-        return np.stack(mixed).T  # each column in one piece
-
-    def prior(self) -> np.ndarray:
-        return np.log((self.mass + 0.5) / (self.mass.sum() + 0.5 * CLASSES)).astype(np.float32)
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-
-def _logits(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-    """Sums of the features' weight rows, one feature at a time."""
-    z = weights.take(rows[0], 0)
+    """What training and scoring need; all of bounded size. ``top`` is (count, word) of the most frequent words."""
+
+    def __init__(self, centres: np.ndarray, top: list[tuple[int, bytes]], tokens: int):
+        self.centres, self.tokens, self.slots = centres, tokens, slots(tokens)
+        self.weights = np.zeros((2, FEATURES, self.slots, CLASSES), np.float32)
+        self.mass, self.once = np.zeros(CLASSES * LEAVES), np.zeros(CLASSES)
+        codes = np.fromiter((xxhash.xxh64_intdigest(w) for _, w in top), np.uint64, len(top))
+        classes = self._classes([w for _, w in top], np.array([c for c, _ in top], np.int64))
+        own: dict[int, int] = {}
+        held = [0] * CLASSES
+        for k in np.lexsort((codes, [-c for c, _ in top])) if top else ():
+            c = int(classes[k])
+            if c >= CLUSTERS and held[c] < OWN:
+                own[int(codes[k])] = held[c]
+                held[c] += 1
+        self.own_codes = np.array(sorted(own), np.uint64)
+        self.own_leaves = np.array([own[c] for c in sorted(own)], np.int64)
+
+    def _classes(self, words: list[bytes], total: np.ndarray) -> np.ndarray:
+        return clusters(words, self.centres) + CLUSTERS * ((total << COMMON) >= max(self.tokens, 1))
+
+    def places(self, words: list[bytes], codes: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """class * LEAVES + leaf of each word."""
+        of = self._classes(words, total)
+        rest = (codes >> np.uint64(8)).astype(np.int64)
+        leaf = np.where(of < CLUSTERS, rest % LEAVES, OWN + rest % (LEAVES - OWN))
+        if len(self.own_codes):
+            at = np.minimum(np.searchsorted(self.own_codes, codes), len(self.own_codes) - 1)
+            leaf = np.where((self.own_codes[at] == codes) & (of >= CLUSTERS), self.own_leaves[at], leaf)
+        return of * LEAVES + leaf
+
+    def priors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of the classes and, a row a class, of their leaves without features."""
+        log = lambda x: np.where(x > 0, np.log(np.maximum(x, 1) / max(self.mass.sum(), 1)), _NEVER).astype(np.float32)
+        return log(self.mass.reshape(CLASSES, LEAVES).sum(1)), log(self.mass).reshape(CLASSES, LEAVES)
+
+
+def histories(codes: np.ndarray, classes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """A hash a feature of the tokens at these positions; a text begins after end tokens."""
+    place = (np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[at]
+    end = int(np.flatnonzero(codes == np.uint64(xxhash.xxh64_intdigest(_END)))[0])
+    back = [np.where(place < k, end, ids[at - k]) for k in (1, 2, 3)]
+    of = classes.astype(np.uint64)
+    one, two = codes[back[0]], codes[back[1]]
+    with np.errstate(over="ignore"):
+        rows = [one, one * _M1 ^ (two * _M2 >> np.uint64(7)), two, of[back[1]] * np.uint64(131) + of[back[2]] * np.uint64(17161) + np.uint64(7)]
+        return [(r ^ (r >> np.uint64(32))) * _M1 for r in rows]
+
+
+def rows_of(history: list[np.ndarray], n: int, inside: np.ndarray | None = None) -> list[np.ndarray]:
+    """Weight rows of these features, hashed with a class where ``inside`` gives one."""
+    with np.errstate(over="ignore"):
+        if inside is not None:
+            salt = (inside.astype(np.uint64) + np.uint64(1)) * _M2
+            history = [(h ^ salt) * _M1 for h in history]
+        return [((h >> np.uint64(40)) % np.uint64(n)).astype(np.uint16) for h in history]
+
+
+def _exp_logits(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+    """Exponentials of the sums of the features' weight rows, one feature at a time."""
+    z = weights[0].take(rows[0], 0)
     one = np.empty_like(z)
-    for r in rows[1:]:
-        z += weights.take(r, 0, out=one, mode="clip")
+    for k in range(1, len(rows)):
+        z += weights[k].take(rows[k], 0, out=one, mode="clip")
     z += bias
-    return z
-
-
-def _train(model: Model, buckets: int, spread: int):
-    def train(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        t, _ = _tokens(rows)
-        total = _totals(t, answers, buckets)
-        of = model.classes(t, total)
-        counts = np.bincount(t.ids[t.train], minlength=len(t.words))
-        mass = np.bincount(of, counts, CLASSES)
-        once = np.bincount(of, (total == 1) * counts, CLASSES)
-        weights, squares = model.weights.copy(), np.full((FEATURES * SLOTS, 1), 1e-2, np.float32)
-        at = np.flatnonzero(t.train)
-        bias = (np.log((mass + 0.5) / (mass.sum() + 0.5 * CLASSES))).astype(np.float32)
-        rng = np.random.default_rng(7)
-        rng.shuffle(at)
-        rows_of = model.features(t, of, at).T
-        for a in range(0, len(at), BATCH):
-            some = at[a : a + BATCH]
-            f, y = [r[a : a + BATCH] for r in rows_of], of[t.ids[some]]
-            g = np.exp(_log_softmax(_logits(weights, f, bias)))
-            g[np.arange(len(some)), y] -= 1
-            for k in range(FEATURES):
-                order = np.argsort(f[k], kind="stable")
-                slot = f[k][order]
-                begin = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-                step = np.add.reduceat(g[order], begin) / np.diff(np.append(begin, len(slot)))[:, None] ** 0.5
-                squares[slot[begin]] += (step * step).mean(1, keepdims=True)
-                weights[slot[begin]] -= RATE * step / np.sqrt(squares[slot[begin]])
-        seen = int(len(at) > 0)
-        part = np.array_split((weights - model.weights).astype(np.float16), spread)
-        g_no = rows.column("g")[0].as_py() if len(rows) else 0
+    np.minimum(z, -_NEVER, out=z)
+    return np.exp(z, out=z)
+
+
+def _learn(weights: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], y: np.ndarray, bias: np.ndarray) -> None:
+    """One Adagrad step of a softmax on a minibatch."""
+    g = _exp_logits(weights, rows, bias)
+    g /= (g @ np.ones(g.shape[1], np.float32))[:, None]
+    g[np.arange(len(y)), y] -= 1
+    for k, r in enumerate(rows):
+        order = np.argsort(r, kind="stable")
+        slot = r[order]
+        begin = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        times = np.diff(np.append(begin, len(slot)))
+        step = g.take(order[begin], 0)
+        if len(many := np.flatnonzero(times > 1)):  # rows that come once need no sum
+            step[many] = np.add.reduceat(g.take(order[np.repeat(times > 1, times)], 0), np.cumsum(times[many]) - times[many])
+            step[many] /= np.sqrt(times[many], dtype=np.float32)[:, None]
+        slot, own, square = slot[begin], weights[k], squares[k]
+        seen = square.take(slot) + np.einsum("ij,ij->i", step, step) / step.shape[1]
+        square[slot] = seen
+        step *= (RATE / np.sqrt(seen))[:, None]
+        own[slot] -= step
+
+
+_READY = "ids binary, lengths binary, train binary, doc_ids array<long>, codes binary, totals binary, places binary, mass array<double>, once array<double>"
+
+
+def _ready(model: Model, buckets: int):
+    """A group with its words' totals and places, and its training tokens by place (and those of words seen once, by class)."""
+
+    def ready(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        row = {c: rows.column(c)[0].as_py() for c in ("ids", "words", "lengths", "train", "doc_ids", "codes")}
+        words, codes = row["words"].split(b"\n"), np.frombuffer(row["codes"], np.uint64)
+        order, full, begin = _by_bucket(codes, buckets)
+        total = np.zeros(len(codes), np.int64)
+        for b, x in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True):
+            k = np.searchsorted(full, b)
+            total[order[begin[k] : begin[k + 1]]] = np.frombuffer(x, np.int64)
+        places = model.places(words, codes, total)
+        ids, lengths, train = _tokens(row["ids"], row["lengths"], row["train"])
+        counts = np.bincount(ids[train], minlength=len(codes))
+        mass, once = np.bincount(places, counts, CLASSES * LEAVES), np.bincount(places // LEAVES, counts * (total == 1), CLASSES)
         return pa.table({
-            "part": pa.array(range(spread), pa.int32()), "salt": pa.array([g_no % 61] * spread, pa.int32()), "n": pa.array([seen] * spread, pa.int64()),
-            "delta": pa.array([p.tobytes() for p in part], pa.binary()), "mass": pa.array([mass.tolist()] * spread, pa.list_(pa.float64())), "once": pa.array([once.tolist()] * spread, pa.list_(pa.float64())),
-        })
+            **{c: pa.array([row[c]], pa.binary()) for c in ("ids", "lengths", "train", "codes")}, "doc_ids": pa.array([row["doc_ids"]], pa.list_(pa.int64())),
+            "totals": pa.array([total.tobytes()], pa.binary()), "places": pa.array([places.astype(np.int16).tobytes()], pa.binary()),
+            "mass": pa.array([mass.tolist()], pa.list_(pa.float64())), "once": pa.array([once.tolist()], pa.list_(pa.float64())),
+        }).select([c.split()[0] for c in _READY.split(", ")])
 
-    return train
+    return ready
 
 
-_MIXED = "part int, salt int, n long, delta binary, mass array<double>, once array<double>"
+def _tokens(ids: bytes, lengths: bytes, train: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens as numbers, lengths of the texts, and which tokens to learn from."""
+    planes = np.frombuffer(ids, np.uint8).reshape(3, -1).astype(np.int32)
+    lengths = np.frombuffer(lengths, np.int64)
+    return planes[0] | planes[1] << 8 | planes[2] << 16, lengths, np.repeat(np.frombuffer(train, bool), lengths)
+
+
+def _groups(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {c: batch.column(c)[k].as_py() for c in ("ids", "lengths", "train", "codes", "totals", "places", "doc_ids")}
+            yield *_tokens(row["ids"], row["lengths"], row["train"]), np.frombuffer(row["codes"], np.uint64), np.frombuffer(row["totals"], np.int64), np.frombuffer(row["places"], np.int16).astype(np.int64), row
+
+
+def learn_group(model: Model, weights: np.ndarray, squares: np.ndarray, ids, lengths, train, codes, places, seed: int = 7) -> int:
+    """Adagrad over minibatches of every training position of a group, once; their number."""
+    at = np.flatnonzero(train)
+    np.random.default_rng(seed).shuffle(at)
+    classes, leaves = np.divmod(places[ids[at]], LEAVES)
+    history = histories(codes, places // LEAVES, ids, lengths, at)
+    outer, inner = rows_of(history, model.slots), rows_of(history, model.slots, classes)
+    prior, inside = model.priors()
+    for a in range(0, len(at), BATCH):
+        b = slice(a, a + BATCH)
+        _learn(weights[0], squares[0], [r[b] for r in outer], classes[b], prior)
+        _learn(weights[1], squares[1], [r[b] for r in inner], leaves[b], inside[classes[b]])
+    return len(at)
+
+
+_MIXED = "part int, salt int, n double, delta binary"
+
+
+def _train(model: Model, salts: int):
+    def train(batches):
+        weights, squares, n = model.weights.copy(), np.full(model.weights.shape[:3], 1e-2, np.float32), 0
+        for ids, lengths, learn, codes, _, places, _ in _groups(batches):
+            n += learn_group(model, weights, squares, ids, lengths, learn, codes, places)
+        if n:
+            parts = (weights - model.weights).astype(np.float16).reshape(2 * FEATURES, -1)
+            salt = TaskContext.get().partitionId() % salts
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(parts)), pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([float(n)] * len(parts)), pa.array([p.tobytes() for p in parts], pa.binary())],
+                names=["part", "salt", "n", "delta"],
+            )
+
+    return train
 
 
 def _mix(kind):
     def mix(key: tuple, rows: pa.Table) -> pa.Table:
-        """Sums of deltas (float32 between the levels), of counts and of groups."""
-        delta = sum(np.frombuffer(x, kind).astype(np.float32) for x in rows.column("delta").to_pylist())
-        sums = [np.sum(rows.column(c).to_pylist(), axis=0).tolist() for c in ("mass", "once")]
-        return pa.table({
-            "part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "n": pa.array([sum(rows.column("n").to_pylist())], pa.int64()),
-            "delta": pa.array([delta.tobytes()], pa.binary()), "mass": pa.array([sums[0]], pa.list_(pa.float64())), "once": pa.array([sums[1]], pa.list_(pa.float64())),
-        })
+        """The average delta by tokens (float32 between the levels)."""
+        n = np.array(rows.column("n").to_pylist())
+        delta = sum(np.frombuffer(x, kind).astype(np.float32) * np.float32(k / n.sum()) for x, k in zip(rows.column("delta").to_pylist(), n, strict=True))
+        return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "n": pa.array([float(n.sum())]), "delta": pa.array([delta.tobytes()], pa.binary())})
 
     return mix
 
 
-def _score(model: Model, buckets: int, n: int, v: int):
-    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        t, rows = _tokens(rows)
-        total = _totals(t, answers, buckets)
-        of = model.classes(t, total)
-        c = total[t.ids]
-        base = np.log10((c + 1) / (n + (v + 1)))
-        if n:
-            unseen = np.where(model.mass > 0, np.minimum(model.once / np.maximum(model.mass, 1), 0.95), 0.0)
-            unseen = unseen if unseen.any() else np.full(CLASSES, 1.0 / (n + 1))  # some mass for the unseen word
-            inside = np.log(np.maximum(total, 1)) - np.log(np.maximum(model.mass[of], 1)) + np.log1p(-unseen[of])
-            rows_of, prior = model.features(t, of).T, model.prior()
-            own = np.empty(len(t.ids))
-            for a in range(0, len(t.ids), SCORED):
-                ids, z = t.ids[a : a + SCORED], _logits(model.weights, [r[a : a + SCORED] for r in rows_of], prior)
-                z -= z.max(1, keepdims=True)
-                mine = z[np.arange(len(ids)), of[ids]]
-                np.exp(z, out=z)
-                norm = np.log(z.sum(1))
-                own[a : a + SCORED] = mine - norm + inside[ids]
-                new = np.flatnonzero(total[ids] == 0)
-                own[a + new] = np.log(z[new] @ unseen) - norm[new]
-            own /= np.log(10)
-        else:
-            own = np.zeros(len(t.ids))
-        starts = np.cumsum(t.lengths) - t.lengths
-        by_doc = lambda x: np.add.reduceat(x, starts) if len(starts) else x
-        return pa.table({
-            "doc_id": rows.column("doc_id"), "held_out": pa.array(~rows.column("train").to_numpy(zero_copy_only=False)), "n_tokens": pa.array(t.lengths),
-            "n_known": pa.array(by_doc((c > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array([n] * len(starts), pa.int64()),
-            "base_score": pa.array(by_doc(base), pa.float64()), "score": pa.array(by_doc(own), pa.float64()),
-        })
+def score_group(model: Model, ids, lengths, codes, total, places) -> np.ndarray:
+    """Natural log probability of each token."""
+    mass = model.mass.reshape(CLASSES, LEAVES).sum(1)
+    unseen = np.where(mass > 0, np.minimum(model.once / np.maximum(mass, 1), 0.95), 0.0)
+    unseen = unseen if unseen.any() else np.where(mass > 0, 1.0 / (model.tokens + 1), 0.0)  # some mass for the unseen word
+    classes = places // LEAVES
+    fixed = np.log(np.maximum(total, 1)) - np.log(np.maximum(model.mass[places], 1)) + np.log1p(-unseen[classes])
+    history = histories(codes, classes, ids, lengths, np.arange(len(ids)))
+    of, leaf = classes[ids], (places % LEAVES)[ids]
+    outer, inner = rows_of(history, model.slots), rows_of(history, model.slots, of)
+    prior, inside = model.priors()
+    one, out = np.ones(CLASSES, np.float32), np.empty(len(ids))
+    mixed = np.stack([one, unseen.astype(np.float32)]).T
+    for a in range(0, len(ids), BATCH):
+        b = slice(a, a + BATCH)
+        k = np.arange(len(ids[b]))
+        z = _exp_logits(model.weights[0], [r[b] for r in outer], prior)
+        norm = z @ mixed
+        y = _exp_logits(model.weights[1], [r[b] for r in inner], inside[of[b]])
+        known = np.log(z[k, of[b]]) - np.log(norm[:, 0]) + np.log(y[k, leaf[b]]) - np.log(y @ one) + fixed[ids[b]]
+        out[b] = np.where(total[ids[b]] > 0, known, np.log(norm[:, 1]) - np.log(norm[:, 0]))
+    return out
+
+
+def _score(model: Model, n: int, v: int):
+    def score(batches):
+        for ids, lengths, _, codes, total, places, row in _groups(batches):
+            starts = np.cumsum(lengths) - lengths
+            c = total[ids]
+            own = score_group(model, ids, lengths, codes, total, places) / np.log(10) if n else np.zeros(len(ids))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(row["doc_ids"], pa.int64()), pa.array(~np.frombuffer(row["train"], bool)), pa.array(lengths), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)),
+                    pa.array(np.full(len(lengths), n, np.int64)), pa.array(np.add.reduceat(np.log10((c + 1) / (n + (v + 1))), starts)), pa.array(np.add.reduceat(own, starts)),
+                ],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return score
 
@@ -355,33 +459,28 @@ def score_texts(docs: DataFrame, train=None) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``; ``train`` is the condition
     (a Column) for the documents to learn from, all but every seventh hash of ids by default."""
     learn = remainder(F.col("doc_id"), 7) != 2 if train is None else train
-    groups = int(text_groups(docs))
-    buckets = groups
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(learn, F.lit(False)).alias("train"), F.xxhash64("doc_id", "text").alias("at"))
-    rows = rows.withColumn("g", F.pmod("at", F.lit(groups)).cast("int"))
-    dealt = rows.repartition(groups, "g")
-    asked = dealt.groupBy("g").applyInArrow(_ask(buckets), "bucket int, g int, codes binary, counts binary, learnt binary")
-    answers = persist(asked.groupBy("bucket").applyInArrow(_count, "g int, bucket int, totals binary, n long, v long, top array<struct<c:long,code:long>>, words binary, counts binary"), "totals")
+    buckets = int(text_groups(docs))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(learn, F.lit(False)).alias("train"))
+    asked = persist(rows.mapInArrow(_ask(buckets, GROUP), _ASKED), "groups")
+    words = asked.where("bucket >= 0").select("g", "bucket", "codes", "counts", "learnt")
+    answers = persist(words.groupBy("bucket").applyInArrow(_count, "g long, bucket int, totals binary, n long, v long, top array<struct<c:long,word:binary>>, words binary, counts binary"), "totals")
     sums = answers.where("g = -1")
     n, v = (x or 0 for x in sums.agg(F.sum("n"), F.sum("v")).first())
-    top = sums.select(F.explode("top").alias("x")).select("x.*").where("c > 0").orderBy(F.desc("c"), "code").limit(OWN).collect()
-    own = [r.code + (1 << 63) for r in top]
-    model = Model(fit_to_all(sums, own), own)
-    answers = answers.where("g >= 0").select("g", "bucket", "totals")
-    spread = 8
-    for k in range(ROUNDS if n else 0):
-        here = F.col("g") % ROUNDS == k
-        deltas = rows.where(here).repartition(groups, "g").groupBy("g").cogroup(answers.where(here).groupBy("g")).applyInArrow(_train(model, buckets, spread), _MIXED)
+    top = sums.select(F.explode("top").alias("x")).select("x.*").orderBy(F.desc("c"), "word").limit(TOP).collect()
+    model = Model(fit_to_all(sums), [(r.c, bytes(r.word)) for r in top], n)
+    own = asked.where("bucket = -1").select("g", "ids", "words", "lengths", "train", "doc_ids", "codes")
+    ready = persist(own.groupBy("g").cogroup(answers.where("g >= 0").select("g", "bucket", "totals").groupBy("g")).applyInArrow(_ready(model, buckets), _READY), "ready")
+    free(asked, answers)
+    for name, into in (("mass", model.mass), ("once", model.once)):
+        for r in ready.select(F.posexplode(name).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():  # at most CLASSES * LEAVES rows
+            into[r.k] = r.x
+    salts = isqrt(ready.rdd.getNumPartitions()) + 1
+    for _ in range(ROUNDS if n else 0):
+        deltas = ready.mapInArrow(_train(model, salts), _MIXED)
         mixed = deltas.groupBy("part", "salt").applyInArrow(_mix(np.float16), _MIXED).groupBy("part").applyInArrow(_mix(np.float32), _MIXED)
-        parts = sorted(mixed.collect(), key=lambda r: r.part)  # `spread` rows
-        if parts and parts[0].n:
-            delta = np.concatenate([np.frombuffer(r.delta, np.float32) for r in parts])
-            model.weights += delta.reshape(model.weights.shape) / parts[0].n
-        if parts:
-            model.mass += np.array(parts[0].mass)
-            model.once += np.array(parts[0].once)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_score(model, buckets, n, v), schema)
+        for r in mixed.collect():  # a row a feature kind of each softmax
+            model.weights.reshape(2 * FEATURES, -1)[r.part] += np.frombuffer(r.delta, np.float32)
+    return ready.mapInArrow(_score(model, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
