@@ -45,11 +45,11 @@ def model_of(texts, seed=None):
 def test_score_against_a_dense_brute_force():
     """Every known word's probability and the unseen word's, one by one from the definition; they sum to 1."""
     t, total, model, places = model_of(["aa bb aa cc dd cc ee", "bb bb ff aa", "aa"], 1)
-    got = L.score_group(model, t.ids, t.lengths, t.codes, total, places)
+    got = L.score_group(model, t.ids, t.lengths, L._short(t.codes), total, places)
     prior, inside = model.priors()
     mass = model.mass.reshape(L.CLASSES, L.LEAVES)
     unseen = np.minimum(model.once / np.maximum(mass.sum(1), 1), 0.95)
-    history = L.histories(t.codes, places // L.LEAVES, t.ids, t.lengths, np.arange(len(t.ids)))
+    history = L.histories(L._short(t.codes), places // L.LEAVES, t.ids, t.lengths, np.arange(len(t.ids)))
     for k in range(len(t.ids)):
         one = [h[k : k + 1] for h in history]
         soft = lambda w, rows, bias: np.exp(z := w[np.arange(L.FEATURES), [int(r[0]) for r in rows]].sum(0) + bias.astype(float)) / np.exp(z).sum()
@@ -62,7 +62,7 @@ def test_score_against_a_dense_brute_force():
         assert np.isclose(np.log(p[t.ids[k]]), got[k], atol=1e-4)
         assert np.isclose(p.sum() + of_class @ unseen, 1, atol=1e-5)
     total[t.words.index(b"ff")] = 0  # as if never seen in training
-    lone = L.score_group(model, t.ids, t.lengths, t.codes, total, places)
+    lone = L.score_group(model, t.ids, t.lengths, L._short(t.codes), total, places)
     at = int(np.flatnonzero(t.ids == t.words.index(b"ff"))[0])
     of_class = np.exp(z := sum(model.weights[0][f, L.rows_of([h[at : at + 1] for h in history], model.slots)[f][0]] for f in range(L.FEATURES)) + prior.astype(float)) / np.exp(z).sum()
     assert np.isclose(lone[at], np.log(of_class @ unseen), atol=1e-4)
@@ -94,9 +94,9 @@ def test_every_training_position_gives_a_gradient():
     words = [f"w{k}" for k in range(300)]  # each follows one other: a feature row a position
     t, total, model, places = model_of([" ".join(words)])
     weights = model.weights.copy()
-    n = L.learn_group(model, weights, np.full(weights.shape[:3], 1e-2, np.float32), t.ids, t.lengths, t.train, t.codes, places)
+    n = L.learn_group(model, weights, np.full(weights.shape[:3], 1e-2, np.float32), t.ids, t.lengths, t.train, L._short(t.codes), places)
     assert n == 301
-    history = L.histories(t.codes, places // L.LEAVES, t.ids, t.lengths, np.arange(len(t.ids)))
+    history = L.histories(L._short(t.codes), places // L.LEAVES, t.ids, t.lengths, np.arange(len(t.ids)))
     for level, of in ((0, None), (1, places[t.ids] // L.LEAVES)):
         for f, rows in enumerate(L.rows_of(history, model.slots, of)):
             assert (weights[level][f, rows] != 0).any(1).all()

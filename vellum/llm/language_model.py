@@ -77,7 +77,11 @@ class Tokens:
         self.words, self.ids = [words[k] for k in order], number[ids]
         self.lengths = np.diff(np.flatnonzero(np.concatenate([[True], ids == 0])))
         self.train = np.repeat(train, self.lengths)
-        self.codes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), np.uint64, len(self.words))
+        self.codes = word_codes(self.words)
+
+
+def word_codes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def _by_bucket(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +93,7 @@ def _by_bucket(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return order, full.astype(np.int64), np.append(begin, len(order))
 
 
-_ASKED = "g long, bucket int, codes binary, counts binary, learnt binary, ids binary, words binary, lengths binary, train binary, doc_ids array<long>"
+_ASKED = "g long, bucket int, words binary, counts binary, ids binary, lengths binary, train binary, doc_ids array<long>"
 
 
 def _asked(g: int, doc_ids: list, texts: list, train: list, buckets: int) -> pa.RecordBatch:
@@ -103,9 +107,8 @@ def _asked(g: int, doc_ids: list, texts: list, train: list, buckets: int) -> pa.
     planes = t.ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()  # bytes of equal weight together: they compress
     return pa.RecordBatch.from_pydict({
         "g": pa.array([g] * (len(parts) + 1), pa.int64()), "bucket": pa.array([-1, *full.tolist()], pa.int32()),
-        "codes": pa.array([t.codes.tobytes(), *(t.codes[p].tobytes() for p in parts)], pa.binary()), "counts": pa.array([None, *(counts[p].tobytes() for p in parts)], pa.binary()),
-        "learnt": pa.array([None, *(b"\n".join([t.words[k] for k in p if counts[k]]) for p in parts)], pa.binary()),
-        "ids": pa.array([planes, *none], pa.binary()), "words": pa.array([b"\n".join(t.words), *none], pa.binary()), "lengths": pa.array([t.lengths.tobytes(), *none], pa.binary()),
+        "words": pa.array([b"\n".join(t.words), *(b"\n".join([t.words[k] for k in p]) for p in parts)], pa.binary()), "counts": pa.array([None, *(counts[p].tobytes() for p in parts)], pa.binary()),
+        "ids": pa.array([planes, *none], pa.binary()), "lengths": pa.array([t.lengths.tobytes(), *none], pa.binary()),
         "train": pa.array([train.tobytes(), *none], pa.binary()), "doc_ids": pa.array([doc_ids, *none], pa.list_(pa.int64())),
     })
 
@@ -129,16 +132,16 @@ def _ask(buckets: int, most: int):
 
 def _count(bucket: tuple, rows: pa.Table) -> pa.Table:
     """Answers to the groups, and one row (g = -1) of the bucket's sums and most frequent words."""
-    codes = [np.frombuffer(x, np.uint64) for x in rows.column("codes").to_pylist()]
+    words = [x.split(b"\n") for x in rows.column("words").to_pylist()]
+    codes = [word_codes(x) for x in words]
     counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("counts").to_pylist()])
     every = np.concatenate(codes)
-    known, at = np.unique(every, return_inverse=True)
+    known, first, at = np.unique(every, return_index=True, return_inverse=True)
     total = np.bincount(at, counts, len(known)).astype(np.int64)
     cuts = np.cumsum([0, *map(len, codes)])
     answers = [total[at[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    learnt = [w for x in rows.column("learnt").to_pylist() if x for w in x.split(b"\n")]  # in the order of counts above 0
-    _, first = np.unique(every[counts > 0], return_index=True)
-    words, n = [learnt[k] for k in first], total[total > 0]
+    flat = [w for x in words for w in x]
+    words, n = [flat[k] for k in first[total > 0]], total[total > 0]
     top = np.lexsort((known[total > 0], -n))[:TOP]
     none = [None] * len(codes)
     return pa.table({
@@ -276,14 +279,19 @@ class Model:
         return log(self.mass.reshape(CLASSES, LEAVES).sum(1)), log(self.mass).reshape(CLASSES, LEAVES)
 
 
+def _short(codes: np.ndarray) -> np.ndarray:
+    """The half of the words' hashes that histories are made of."""
+    return (codes >> np.uint64(32)).astype(np.uint32)
+
+
 def histories(codes: np.ndarray, classes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """A hash a feature of the tokens at these positions; a text begins after end tokens."""
+    """A hash a feature of the tokens at these positions, from the words' short codes; a text begins after end tokens."""
     place = (np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[at]
-    end = int(np.flatnonzero(codes == np.uint64(xxhash.xxh64_intdigest(_END)))[0])
+    end = int(ids[-1]) if len(ids) else 0  # every text ends with it
     back = [np.where(place < k, end, ids[at - k]) for k in (1, 2, 3)]
-    of = classes.astype(np.uint64)
-    one, two = codes[back[0]], codes[back[1]]
+    of, codes = classes.astype(np.uint64), codes.astype(np.uint64)
     with np.errstate(over="ignore"):
+        one, two = codes[back[0]] * _M2, codes[back[1]] * _M2
         rows = [one, one * _M1 ^ (two * _M2 >> np.uint64(7)), two, of[back[1]] * np.uint64(131) + of[back[2]] * np.uint64(17161) + np.uint64(7)]
         return [(r ^ (r >> np.uint64(32))) * _M1 for r in rows]
 
@@ -336,8 +344,9 @@ def _ready(model: Model, buckets: int):
     """A group with its words' totals and places, and its training tokens by place (and those of words seen once, by class)."""
 
     def ready(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        row = {c: rows.column(c)[0].as_py() for c in ("ids", "words", "lengths", "train", "doc_ids", "codes")}
-        words, codes = row["words"].split(b"\n"), np.frombuffer(row["codes"], np.uint64)
+        row = {c: rows.column(c)[0].as_py() for c in ("ids", "words", "lengths", "train", "doc_ids")}
+        words = row["words"].split(b"\n")
+        codes = word_codes(words)
         order, full, begin = _by_bucket(codes, buckets)
         total = np.zeros(len(codes), np.int64)
         for b, x in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True):
@@ -348,7 +357,7 @@ def _ready(model: Model, buckets: int):
         counts = np.bincount(ids[train], minlength=len(codes))
         mass, once = np.bincount(places, counts, CLASSES * LEAVES), np.bincount(places // LEAVES, counts * (total == 1), CLASSES)
         return pa.table({
-            **{c: pa.array([row[c]], pa.binary()) for c in ("ids", "lengths", "train", "codes")}, "doc_ids": pa.array([row["doc_ids"]], pa.list_(pa.int64())),
+            **{c: pa.array([row[c]], pa.binary()) for c in ("ids", "lengths", "train")}, "codes": pa.array([_short(codes).tobytes()], pa.binary()), "doc_ids": pa.array([row["doc_ids"]], pa.list_(pa.int64())),
             "totals": pa.array([total.tobytes()], pa.binary()), "places": pa.array([places.astype(np.int16).tobytes()], pa.binary()),
             "mass": pa.array([mass.tolist()], pa.list_(pa.float64())), "once": pa.array([once.tolist()], pa.list_(pa.float64())),
         }).select([c.split()[0] for c in _READY.split(", ")])
@@ -367,7 +376,7 @@ def _groups(batches):
     for batch in batches:
         for k in range(batch.num_rows):
             row = {c: batch.column(c)[k].as_py() for c in ("ids", "lengths", "train", "codes", "totals", "places", "doc_ids")}
-            yield *_tokens(row["ids"], row["lengths"], row["train"]), np.frombuffer(row["codes"], np.uint64), np.frombuffer(row["totals"], np.int64), np.frombuffer(row["places"], np.int16).astype(np.int64), row
+            yield *_tokens(row["ids"], row["lengths"], row["train"]), np.frombuffer(row["codes"], np.uint32), np.frombuffer(row["totals"], np.int64), np.frombuffer(row["places"], np.int16).astype(np.int64), row
 
 
 def learn_group(model: Model, weights: np.ndarray, squares: np.ndarray, ids, lengths, train, codes, places, seed: int = 7) -> int:
@@ -462,13 +471,13 @@ def score_texts(docs: DataFrame, train=None) -> DataFrame:
     buckets = int(text_groups(docs))
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(learn, F.lit(False)).alias("train"))
     asked = persist(rows.mapInArrow(_ask(buckets, GROUP), _ASKED), "groups")
-    words = asked.where("bucket >= 0").select("g", "bucket", "codes", "counts", "learnt")
+    words = asked.where("bucket >= 0").select("g", "bucket", "words", "counts")
     answers = persist(words.groupBy("bucket").applyInArrow(_count, "g long, bucket int, totals binary, n long, v long, top array<struct<c:long,word:binary>>, words binary, counts binary"), "totals")
     sums = answers.where("g = -1")
     n, v = (x or 0 for x in sums.agg(F.sum("n"), F.sum("v")).first())
     top = sums.select(F.explode("top").alias("x")).select("x.*").orderBy(F.desc("c"), "word").limit(TOP).collect()
     model = Model(fit_to_all(sums), [(r.c, bytes(r.word)) for r in top], n)
-    own = asked.where("bucket = -1").select("g", "ids", "words", "lengths", "train", "doc_ids", "codes")
+    own = asked.where("bucket = -1").select("g", "ids", "words", "lengths", "train", "doc_ids")
     ready = persist(own.groupBy("g").cogroup(answers.where("g >= 0").select("g", "bucket", "totals").groupBy("g")).applyInArrow(_ready(model, buckets), _READY), "ready")
     free(asked, answers)
     for name, into in (("mass", model.mass), ("once", model.once)):
