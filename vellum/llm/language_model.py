@@ -4,8 +4,8 @@
 
 Both softmaxes have 32 outcomes, whose logits sum one hashed weight row a feature: the word before, the two before
 (n-gram), the second before (skip) and the classes of the second and third before (skip); inside a class the row is
-hashed with the class. Classes are clusters of words by spelling (letter pairs), those of frequent words (a millionth of
-all tokens or more) apart. A frequent class's ``OWN`` most frequent words are leaves of their own; all other words fall
+hashed with the class. Frequent words (a millionth of all tokens or more) fall into classes by spelling (clusters of letter
+pairs), others by length and ending. A frequent class's ``OWN`` most frequent words are leaves of their own; all other words fall
 into leaves by hash. P(word | leaf) is the word's share of the leaf's training tokens, less the class's Good-Turing share
 of unseen words; the unseen word's probability is the mixture of those shares, so that all known words and the one
 unseen word sum to 1.
@@ -57,16 +57,21 @@ def slots(tokens: int) -> int:
     return min(MOST_SLOTS, SLOTS << ((int(tokens) // FULL).bit_length() + 1) // 2)
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Tokens:
     """The tokens of some texts: ``ids`` into ``words``, ``lengths`` of the texts; ``train`` marks tokens to learn from."""
 
     def __init__(self, texts: list, train: np.ndarray):
-        vocab: dict[bytes, int] = {_END: 0}
-        ids = []
+        vocab, ids = _Numbers({_END: 0}), []
         for text in texts:
             words = text.encode().translate(_LOWER).split() if text else []
-            for w in set(words).difference(vocab):
-                vocab[w] = len(vocab)
             ids.append(np.fromiter(map(vocab.__getitem__, words), np.int32, len(words)))
             ids.append(np.zeros(1, np.int32))
         ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
@@ -261,7 +266,10 @@ class Model:
         self.own_leaves = np.array([own[c] for c in sorted(own)], np.int64)
 
     def _classes(self, words: list[bytes], total: np.ndarray) -> np.ndarray:
-        return clusters(words, self.centres) + CLUSTERS * ((total << COMMON) >= max(self.tokens, 1))
+        frequent = np.flatnonzero((total << COMMON) >= max(self.tokens, 1))
+        of = np.fromiter((len(w) * 7 + w[-1] * 5 + w[-2:][0] for w in words), np.int64, len(words)) % CLUSTERS
+        of[frequent] = CLUSTERS + clusters([words[k] for k in frequent], self.centres)
+        return of
 
     def places(self, words: list[bytes], codes: np.ndarray, total: np.ndarray) -> np.ndarray:
         """class * LEAVES + leaf of each word."""
@@ -319,7 +327,7 @@ def _exp_logits(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -
 def _learn(weights: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], y: np.ndarray, bias: np.ndarray) -> None:
     """One Adagrad step of a softmax on a minibatch."""
     g = _exp_logits(weights, rows, bias)
-    g /= (g @ np.ones(g.shape[1], np.float32))[:, None]
+    g /= g.sum(1, keepdims=True)  # not a matrix product: its threads would wait busily
     g[np.arange(len(y)), y] -= 1
     for k, r in enumerate(rows):
         order = np.argsort(r, kind="stable")
@@ -327,9 +335,12 @@ def _learn(weights: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], y:
         begin = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
         times = np.diff(np.append(begin, len(slot)))
         step = g.take(order[begin], 0)
-        if len(many := np.flatnonzero(times > 1)):  # rows that come once need no sum
-            step[many] = np.add.reduceat(g.take(order[np.repeat(times > 1, times)], 0), np.cumsum(times[many]) - times[many])
-            step[many] /= np.sqrt(times[many], dtype=np.float32)[:, None]
+        for n in (1, 2):  # most rows come up to three times
+            few = np.flatnonzero((times > n) & (times <= 3))
+            step[few] += g.take(order[begin[few] + n], 0)
+        if len(many := np.flatnonzero(times > 3)):
+            step[many] = np.add.reduceat(g.take(order[np.repeat(times > 3, times)], 0), np.cumsum(times[many]) - times[many])
+        step /= np.sqrt(times, dtype=np.float32)[:, None]
         slot, own, square = slot[begin], weights[k], squares[k]
         seen = square.take(slot) + np.einsum("ij,ij->i", step, step) / step.shape[1]
         square[slot] = seen
@@ -434,16 +445,16 @@ def score_group(model: Model, ids, lengths, codes, total, places) -> np.ndarray:
     of, leaf = classes[ids], (places % LEAVES)[ids]
     outer, inner = rows_of(history, model.slots), rows_of(history, model.slots, of)
     prior, inside = model.priors()
-    one, out = np.ones(CLASSES, np.float32), np.empty(len(ids))
-    mixed = np.stack([one, unseen.astype(np.float32)]).T
+    out = np.empty(len(ids))
     for a in range(0, len(ids), BATCH):
         b = slice(a, a + BATCH)
         k = np.arange(len(ids[b]))
         z = _exp_logits(model.weights[0], [r[b] for r in outer], prior)
-        norm = z @ mixed
+        norm = z.sum(1)
         y = _exp_logits(model.weights[1], [r[b] for r in inner], inside[of[b]])
-        known = np.log(z[k, of[b]]) - np.log(norm[:, 0]) + np.log(y[k, leaf[b]]) - np.log(y @ one) + fixed[ids[b]]
-        out[b] = np.where(total[ids[b]] > 0, known, np.log(norm[:, 1]) - np.log(norm[:, 0]))
+        out[b] = np.log(z[k, of[b]] * y[k, leaf[b]] / (norm * y.sum(1))) + fixed[ids[b]]
+        if len(new := np.flatnonzero(total[ids[b]] == 0)):
+            out[a + new] = np.log((z[new] * unseen).sum(1) / norm[new])
     return out
 
 
