@@ -97,3 +97,13 @@ def cited(text: Column, most: Column | int) -> Column:
     most = F.lit(most) if isinstance(most, int) else most
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d{1,4})\]"), F.lit(1)), lambda x: x.cast("int"))
     return F.array_sort(F.array_distinct(F.filter(numbers, lambda x: (x >= 1) & (x <= most))))
+
+
+def folder_module(path: Column) -> Column:
+    """The first segment of a folder path, or null."""
+    return F.nullif(F.get(F.split(F.regexp_replace(path, "^/+|/+$", ""), "/"), 0), F.lit(""))
+
+
+def chunk_text(heading: Column, text: Column, most: int = 8000) -> Column:
+    """A chunk under its heading, cut to what is embedded."""
+    return F.substring(F.concat(F.when(F.coalesce(heading, F.lit("")) != "", F.concat(F.lit("["), heading, F.lit("]\n"))).otherwise(""), text), 1, most)

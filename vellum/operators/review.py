@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions.text import normalized_heading
+
 ACTIONS = ("keep", "update", "deprecate", "create", "question")
 NEVER_AUTO = ("deprecate", "create")
 
@@ -101,8 +103,12 @@ def writeback_plan(decisions: DataFrame) -> DataFrame:
 
 
 def first_of_identity(decisions: DataFrame) -> DataFrame:
-    """Suppresses a run's repeated decisions on the same test and section."""
-    w = Window.partitionBy("run_id", F.when(F.col("action") == "create", "create").otherwise(F.col("jira_key")), "prd_section").orderBy("id")
+    """Numbers a run's decisions of one identity: the same test and (normalized) section, or for new tests the same
+    section and summary."""
+    new = F.col("action") == "create"
+    summary = F.when(new, F.substring(F.trim(F.coalesce("new_summary", F.lit(""))), 1, 400))
+    key = F.when(~new, F.trim(F.coalesce("jira_key", F.lit(""))))
+    w = Window.partitionBy("run_id", new, key, normalized_heading(F.col("prd_section")), summary).orderBy("id")
     return decisions.withColumn("attempt", F.row_number().over(w).cast("long"))
 
 

@@ -12,17 +12,36 @@ _ACTION = "CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'update' WHEN '2'
 
 LOGICAL: dict[str, str | tuple[str, str]] = {
     "test_cases": """
-        SELECT 'PROJ-' || CAST(vec_id AS STRING) AS jira_key, vec_id AS key_no, substring(text, 1, 120) AS summary, substring(text, 121, 400) AS description,
-          CASE WHEN vec_id % 3 <> 0 THEN substring(text, 521, 300) END AS steps_text,
+        SELECT 'PROJ-' || CAST(vec_id AS STRING) AS jira_key, vec_id AS key_no, substring(text, 1, 120) AS summary,
+          CASE WHEN vec_id % 3 <> 0 THEN substring(text, 121, 400) ELSE substring(text, 121) END AS description,
+          CASE WHEN vec_id % 3 <> 0 THEN substring(text, 521) END AS steps_text,
           CASE WHEN label <> 0 THEN 'M' || CAST(label AS STRING) END AS module, lang, source, embedding
         FROM embeddings JOIN documents ON vec_id = doc_id""",
     "decisions": f"""
-        SELECT o_orderkey AS id, o_custkey AS run_no, CAST(o_custkey AS STRING) AS run_id, 'PROJ-' || CAST(o_custkey % 500 AS STRING) AS jira_key, {_ACTION} AS action,
+        SELECT o_orderkey AS id, o_custkey AS run_no, CAST(o_custkey AS STRING) AS run_id, 'PROJ-' || CAST(o_custkey % 500 AS STRING) AS jira_key, {_ACTION} AS action, 'Proposal ' || CAST(o_orderkey % 3 AS STRING) AS new_summary,
           'doc:' || CAST(o_custkey % 100 AS STRING) AS prd_source, c_mktsegment AS prd_section,
           CASE o_orderkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' END AS confidence,
           o_orderstatus <> 'O' AS reviewed, CASE o_orderstatus WHEN 'F' THEN true WHEN 'P' THEN false END AS approved,
           (o_orderstatus = 'F' AND o_orderkey % 2 = 0) AS written_back, o_orderdate AS created_at
         FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "proposals": f"""
+        SELECT o_orderkey AS id, CASE WHEN o_orderkey % 17 = 0 THEN 'drop' ELSE {_ACTION} END AS action, CASE WHEN o_orderkey % 5 <> 0 THEN 'PROJ-' || CAST(o_orderkey % 700 AS STRING) END AS jira_key,
+          CASE o_orderkey % 4 WHEN 0 THEN 'too short' WHEN 1 THEN 'the feature was removed from the product last year' ELSE 'this section still describes what the test checks' END AS reason,
+          CASE WHEN o_orderkey % 3 <> 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'change step 2' ELSE '  ' END END AS suggested_changes,
+          CASE WHEN o_orderkey % 7 <> 0 THEN 'new test' END AS new_summary, CASE WHEN o_orderkey % 6 <> 0 THEN 'doc:' || CAST(o_custkey % 100 AS STRING) END AS prd_source,
+          CASE WHEN o_orderkey % 10 <> 0 THEN 'Part ' || CAST(o_custkey % 5 AS STRING) END AS prd_section, CAST(o_custkey AS STRING) AS run_id,
+          CASE o_orderkey % 6 WHEN 0 THEN '[]' WHEN 1 THEN '[{{"action":" open ","result":"shown"}}]' WHEN 2 THEN '[{{"action":"a"}},{{"action":" "}}]' WHEN 3 THEN '[{{"data":"x"}}]'
+            WHEN 4 THEN '[{{"action":"go","data":" 1 ","expectedResult":"there"}},{{"action":"stop"}}]' END AS steps_json,
+          CASE o_orderkey % 4 WHEN 0 THEN '1. open page -> it shows' || chr(10) || '2) type name | Expected: accepted' || chr(10) || 'a remark' WHEN 1 THEN 'only prose here' WHEN 2 THEN '- first => second => third' || chr(10) || 'Step 3: last' ELSE '* ' END AS outline
+        FROM orders""",
+    "prd_vectors": """
+        SELECT 'doc:' || CAST(vec_id % 40 AS STRING) AS source_id, vec_id AS chunk_no, CASE vec_id % 5 WHEN 0 THEN 'Payments PRD' WHEN 1 THEN 'Implementation plan, payments' WHEN 2 THEN 'v1.2 release'
+          WHEN 3 THEN 'Meeting notes' ELSE 'prd-lite: Plan' END AS doc_title, 'section ' || CAST(label AS STRING) AS section_heading, embedding
+        FROM embeddings""",
+    "calls": """
+        SELECT conv_id AS run_id, turn, CASE conv_id % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'large' ELSE 'other' END AS model, CASE WHEN turn % 4 <> 3 THEN length(text) END AS input_tokens,
+          CASE WHEN turn % 4 <> 3 THEN length(text) % 97 END AS output_tokens, CASE WHEN turn % 2 = 1 THEN length(text) % 31 END AS cache_read_tokens, CASE WHEN turn % 5 = 0 THEN length(text) % 13 END AS cache_write_tokens
+        FROM conversations""",
     "runs": """
         SELECT CAST(o_custkey AS STRING) AS run_id, o_custkey AS run_no, CASE o_custkey % 4 WHEN 0 THEN 'sync' WHEN 1 THEN 'ingest' ELSE 'analysis' END AS run_type,
           CASE WHEN count(*) >= 20 THEN 'completed' WHEN count(*) >= 10 THEN 'running' ELSE 'failed' END AS status,

@@ -20,7 +20,7 @@ def as_of():
     return F.lit("2001-08-02 00:00:00").cast("timestamp")
 
 
-ASKED = ("0", "37", "74", "111", "148")
+EVERY = 20  # searches ask with every row whose number this divides
 
 
 def query(name: str, *tables: str, sql: str | None = None):
@@ -36,22 +36,21 @@ def query(name: str, *tables: str, sql: str | None = None):
 
 
 def asked(tests: DataFrame) -> DataFrame:
-    return tests.where(F.col("key_no").isin(*map(int, ASKED))).select(F.col("jira_key").alias("query_id"), F.col("embedding").alias("q"), "summary", "module")
+    return tests.where(F.col("key_no") % EVERY == 0).select(F.col("jira_key").alias("query_id"), F.col("embedding").alias("q"), "summary", "module")
 
 
 def texts(tests: DataFrame) -> DataFrame:
-    return tests.where(F.col("key_no").isin(*map(int, ASKED))).select(F.col("jira_key").alias("query_id"), F.col("summary").alias("query"))
+    return tests.where(F.col("key_no") % EVERY == 0).select(F.col("jira_key").alias("query_id"), F.col("summary").alias("query"))
 
 
-_KEYS = ", ".join(ASKED)
 _COS = "round((1 + list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))) / 2, 6)"
-_KNN = f"""q AS (SELECT jira_key AS query_id, embedding AS q FROM test_cases WHERE key_no IN ({_KEYS})),
+_KNN = f"""q AS (SELECT jira_key AS query_id, embedding AS q FROM test_cases WHERE mod(key_no, {EVERY}) = 0),
   knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, jira_key) AS rank FROM (SELECT query_id, jira_key, {_COS} AS score FROM q, test_cases %s)) WHERE rank <= %d)"""
 _BM25 = f"""toks AS (SELECT jira_key, list_filter(regexp_split_to_array(lower(%s), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM test_cases),
   stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
   posts AS (SELECT jira_key, dl, term, count(*) AS tf FROM (SELECT jira_key, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY ALL),
   dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
-  terms AS (SELECT DISTINCT query_id, term FROM (SELECT jira_key AS query_id, unnest(list_filter(regexp_split_to_array(lower(summary), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS term FROM test_cases WHERE key_no IN ({_KEYS}))),
+  terms AS (SELECT DISTINCT query_id, term FROM (SELECT jira_key AS query_id, unnest(list_filter(regexp_split_to_array(lower(summary), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS term FROM test_cases WHERE mod(key_no, {EVERY}) = 0)),
   bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, jira_key) AS rank FROM (
     SELECT query_id, jira_key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
     FROM terms JOIN posts USING (term) JOIN dfs USING (term), stats GROUP BY query_id, jira_key)) WHERE rank <= %d)"""
@@ -77,14 +76,34 @@ def bm25_descriptions(t):
     return search.bm25(t, texts(t), 20, "description")
 
 
+def _field(name: str, field: str, boost: float) -> str:
+    """One field's boosted scores as ``<name>``, in SQL."""
+    return f"""toks_{name} AS (SELECT jira_key, list_filter(regexp_split_to_array(lower({field}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM test_cases),
+  posts_{name} AS (SELECT jira_key, dl, term, count(*) AS tf FROM (SELECT jira_key, len(t) AS dl, unnest(t) AS term FROM toks_{name}) GROUP BY ALL),
+  dfs_{name} AS (SELECT term, count(*) AS df FROM posts_{name} GROUP BY term),
+  {name} AS (SELECT query_id, jira_key, {boost} * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS w
+    FROM terms JOIN posts_{name} USING (term) JOIN dfs_{name} USING (term), (SELECT (SELECT count(*) FROM test_cases) AS n, (SELECT sum(len(t)) FROM toks_{name}) / (SELECT count(*) FROM test_cases) AS avgdl) GROUP BY query_id, jira_key)"""
+
+
+_TERMS = _BM25[_BM25.index("terms AS") : _BM25.index(",\n  bm AS")]
+_FIELDS = f"""{_TERMS}, {_field("f1", "summary", 3.0)}, {_field("f2", "description", 2.0)}, {_field("f3", "coalesce(steps_text, '')", 1.0)},
+  bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, jira_key) AS rank FROM (
+    SELECT query_id, jira_key, round(max(w), 6) AS score FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3) GROUP BY ALL)) WHERE rank <= %d)"""
+
+
+@query("bm25_fields", "test_cases", sql=f"WITH {_FIELDS % 20} SELECT * FROM bm")
+def bm25_fields(t):
+    return search.bm25_fields(t, texts(t), 20)
+
+
 @query(
     "hybrid_search", "test_cases",
-    sql=f"""WITH {_KNN % ('', 100)}, {_BM25 % ('summary', 100)}
+    sql=f"""WITH {_KNN % ('', 100)}, {_FIELDS % 100}
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, jira_key) AS rank FROM (
       SELECT query_id, jira_key, round(sum(1.0::DOUBLE / (rank - 1 + 60)), 6) AS rrf FROM (SELECT query_id, jira_key, rank FROM knn UNION ALL SELECT query_id, jira_key, rank FROM bm) GROUP BY ALL)) WHERE rank <= 10""",
 )
 def hybrid_search(t):
-    return search.rrf(search.knn(t, asked(t), 100), search.bm25(t, texts(t), 100), k=10)
+    return search.rrf(search.knn(t, asked(t), 100), search.bm25_fields(t, texts(t), 100), k=10)
 
 
 @query(
@@ -256,12 +275,12 @@ def list_runs(r):
     return r.where("status = 'completed'").orderBy(F.desc("started_at"), "run_no").limit(200).select("run_id", "status", "run_type")
 
 
-@query("test_history", "decisions", sql="SELECT jira_key, id, action FROM decisions WHERE jira_key IN ('PROJ-7', 'PROJ-8') QUALIFY row_number() OVER (PARTITION BY jira_key ORDER BY created_at DESC, id DESC) <= 50")
+@query("test_history", "decisions", sql="SELECT jira_key, id, action FROM decisions QUALIFY row_number() OVER (PARTITION BY jira_key ORDER BY created_at DESC, id DESC) <= 50")
 def test_history(d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("jira_key").orderBy(F.desc("created_at"), F.desc("id"))
-    return d.where(F.col("jira_key").isin("PROJ-7", "PROJ-8")).withColumn("r", F.row_number().over(w)).where("r <= 50").select("jira_key", "id", "action")
+    return d.withColumn("r", F.row_number().over(w)).where("r <= 50").select("jira_key", "id", "action")
 
 
 @query("coverage_map", "decisions", sql=f"""SELECT *, CASE WHEN keep_count > 0 OR update_count > 0 THEN 'covered' WHEN create_count > 0 THEN 'unverified' WHEN deprecate_count > 0 THEN 'shrinking' WHEN question_count > 0 THEN 'questioned' ELSE 'uncovered' END AS gap_risk FROM (
@@ -284,16 +303,16 @@ def writeback_plan(d):
     return review.writeback_plan(d)
 
 
-@query("decision_dedupe", "decisions", sql="SELECT id, row_number() OVER (PARTITION BY run_id, CASE WHEN action = 'create' THEN 'create' ELSE jira_key END, prd_section ORDER BY id) AS attempt FROM decisions")
+@query("decision_dedupe", "decisions", sql="SELECT id, row_number() OVER (PARTITION BY run_id, action = 'create', CASE WHEN action <> 'create' THEN jira_key END, lower(prd_section), CASE WHEN action = 'create' THEN new_summary END ORDER BY id) AS attempt FROM decisions")
 def decision_dedupe(d):
     return review.first_of_identity(d).select("id", "attempt")
 
 
 @query("carry_forward", "decisions", sql="""WITH prev AS (SELECT * FROM decisions WHERE run_no % 2 = 0), now AS (SELECT DISTINCT jira_key, prd_section FROM decisions WHERE run_no % 2 = 1 AND action = 'update')
-    SELECT id, jira_key, prd_section, substring('carried from run ' || run_id, 1, 2000) AS reason FROM prev WHERE prd_section IN ('BUILDING', 'MACHINERY') AND NOT EXISTS (SELECT 1 FROM now n WHERE n.jira_key = prev.jira_key AND n.prd_section = prev.prd_section)
+    SELECT id, jira_key, prd_section, substring('carried from run ' || run_id, 1, 2000) AS reason FROM prev WHERE NOT EXISTS (SELECT 1 FROM now n WHERE n.jira_key = prev.jira_key AND n.prd_section = prev.prd_section)
     QUALIFY row_number() OVER (PARTITION BY jira_key, prd_section ORDER BY id) = 1""")
 def carry_forward(d):
-    sections = d.select("prd_section").distinct().where(F.col("prd_section").isin("BUILDING", "MACHINERY"))
+    sections = d.select("prd_section").distinct()
     kept = review.carried(d.where("run_no % 2 = 0"), sections, d.where("run_no % 2 = 1 AND action = 'update'"))
     return kept.select("id", "jira_key", "prd_section", F.substring(F.concat(F.lit("carried from run "), "run_id"), 1, 2000).alias("reason"))
 
@@ -518,3 +537,5 @@ QUERIES["html_to_markdown"] = lambda spark, d: chunking.html_table(spark.read.pa
 QUERIES["chunk_fixed"] = lambda spark, d: chunking.chunk_table(spark.read.parquet(f"{d}/documents.parquet"), "doc_id")
 QUERIES["chunk_pages"] = lambda spark, d: chunking.chunk_table(QUERIES["html_to_markdown"](spark, d), "page_id", "markdown")
 QUERIES["embed_hash"] = lambda spark, d: chunking.embedded(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
+
+import vellum.plans.core_queries  # noqa: E402, F401  registers more
