@@ -72,3 +72,20 @@ def test_search_is_exact_over_many_shards(spark, monkeypatch):
         first = int(fps.view(np.int64)[k])
         assert roots.get(x, x) == roots.get(first, first)
     assert len({roots.get(int(x), int(x)) for x in fps.view(np.int64)}) == len(set(label.tolist()))
+
+
+def test_shards_keep_their_size(spark, monkeypatch):
+    """Small samples and shards: every shard is dealt on until it is small, and the components are those of brute force."""
+    monkeypatch.setattr(S, "SAMPLE", 300)
+    monkeypatch.setattr(S, "SHARD", 40)
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 1 << 64, 6000, np.uint64)
+    fps = np.unique(np.concatenate([fps, fps[:900] ^ (np.uint64(1) << rng.integers(0, 64, 900, np.uint64))]))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    seen, deepened = [], S._deepened
+    monkeypatch.setattr(S, "_deepened", lambda routed, radius: seen.append(deepened(routed, radius)) or seen[0])
+    edges = {frozenset((r.a, r.b)) for r in S.links(df).collect()}
+    assert seen[0].groupBy("shard").count().agg({"count": "max"}).first()[0] <= 4 * 40
+    near = [(int(a), int(b)) for k, a in enumerate(fps) for b in fps[k + 1 :][np.bitwise_count(fps[k + 1 :] ^ a) <= 2]]
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    assert len(near) > 800 and edges == {frozenset((signed(a), signed(b))) for a, b in near}

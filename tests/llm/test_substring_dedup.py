@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+from vellum.llm import substring_dedup as S
 from vellum.llm.substring_dedup import op2, remove_repeated_windows
 
 
@@ -43,3 +44,12 @@ def test_empty_table(spark):
 def test_whole_table_against_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert sorted(map(tuple, op2(spark, sf_dir).collect()), key=str) == brute(rows, 35)
+
+
+def test_rows_repeated_beyond_a_group(spark, monkeypatch):
+    """Repeated rows that fill several groups, and one very long text."""
+    monkeypatch.setattr(S, "GROUP", 4000)
+    rows = [(7, "one passage that comes again and again " * 3)] * 300 + [(k, f"text number{k} with words of its own") for k in range(60)]
+    rows += [(900, " ".join(f"w{k}" for k in range(30_000)))]
+    got = S.remove_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], key=str) == brute(rows, 5)

@@ -5,7 +5,8 @@ fingerprints are searched for pairs within ``radius`` bits:
 
 1. A bounded sample (``SAMPLE``) fixes the top of a vantage-point tree: each node holds a
    fingerprint and a distance; nearer fingerprints go left, the others right. The tree gets one
-   leaf for about ``SHARD`` fingerprints, so a shard keeps its size as the corpus grows.
+   leaf for about ``SHARD`` fingerprints, as far as the sample tells them apart. Shards that are larger get a tree of their
+   own sample, level by level, so a shard keeps its size as the corpus grows, unless its fingerprints lie too close together.
 2. Every fingerprint walks down the tree. By the triangle inequality a pair cut apart by a node has
    its right member within ``radius`` of the boundary, so exactly those also go left: each pair
    within the radius meets in some shard and no pair is missed.
@@ -21,11 +22,13 @@ Defined results: null and wordless texts have fingerprint 0 and link like any ot
 fewer words than a shingle hash as one; a null ``doc_id`` is carried and never becomes a
 ``component_id`` unless all ids of the component are null; repeated rows give repeated rows; extra
 columns are ignored by ``components`` and kept by ``keep_one_of_each``; an empty table gives an
-empty result.
+empty result. A very long text is hashed whole; a bit that exactly half of the hashes have is 0.
 """
 
 from __future__ import annotations
 
+from ast import literal_eval
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,7 +39,7 @@ from vellum.llm.common import LOWER, UPPER, by_value, persist, table
 from vellum.llm.components import connected_components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-SAMPLE, SHARD, LEAF = 20_000, 16_384, 512
+SAMPLE, SHARD, LEAF, LEVELS = 20_000, 16_384, 512, 8
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _CHUNK = 1 << 17
 
@@ -164,7 +167,7 @@ def _routed(nodes: list, radius: int):
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
             at, shard = route(fps, nodes, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(fps[at].view(np.int64))], names=["shard", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), pa.array(fps[at].view(np.int64))], names=["shard", "fp"])
 
     return run
 
@@ -178,13 +181,59 @@ def _searched(radius: int):
     return run
 
 
+def _grown(radius: int):
+    """A shard's own tree, from its sample: ``shard, tree``."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        sample = rows.column("fp").to_numpy().view(np.uint64)
+        nodes = top_tree(np.sort(sample), -(-int(rows.column("n")[0].as_py()) // SHARD), radius)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "tree": pa.array([repr(nodes).encode() if nodes else None], pa.binary())})
+
+    return run
+
+
+def _split(radius: int):
+    """A piece of an oversized shard walks down that shard's tree."""
+
+    def run(rows: pa.Table, trees: pa.Table) -> pa.Table:
+        fps, shard = rows.column("fp").to_numpy().view(np.uint64), rows.column("shard")[0].as_py() if len(rows) else 0
+        tree = trees.column("tree")[0].as_py() if len(trees) else None
+        at, leaf = route(fps, literal_eval(tree.decode()) if tree else [], radius)
+        below = np.array([xxhash.xxh64_intdigest(f"{shard}/{k}") - (1 << 63) for k in range(int(leaf.max()) + 1)], np.int64) if len(leaf) else leaf
+        return pa.table({"shard": pa.array(below[leaf] if len(leaf) else leaf, pa.int64()), "fp": pa.array(fps[at].view(np.int64), pa.int64())})
+
+    return run
+
+
+def _deepened(routed: DataFrame, radius: int) -> DataFrame:
+    """``shard, fp`` with every shard of over ``4 * SHARD`` dealt on by a tree of its own sample, level by level, until
+    none is left that a tree still splits."""
+    done, level, before = None, 0, None
+    while True:
+        sizes = persist(routed.groupBy("shard").agg(F.count("*").alias("n")), "sizes")
+        big = sizes.where(F.col("n") > 4 * SHARD)
+        most = big.agg(F.max("n")).first()[0]
+        if most is None or level == LEVELS or (before is not None and most > 0.95 * before):
+            return routed if done is None else done.unionByName(routed)
+        small = routed.join(big, "shard", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        rest = routed.join(big, "shard")
+        drawn = rest.where(F.pmod(F.xxhash64("fp", F.lit(level)), F.ceil(F.col("n") / SAMPLE)) == 0)
+        trees = persist(drawn.groupBy("shard").applyInArrow(_grown(radius), "shard long, tree binary"), "trees")
+        pieces = rest.select("shard", "fp", F.pmod(F.xxhash64("fp", F.lit("piece")), F.ceil(F.col("n") / SHARD)).alias("piece"))
+        of_pieces = trees.join(big, "shard").select("shard", "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / SHARD) - 1)).alias("piece"))
+        before = most
+        routed = persist(pieces.groupBy("shard", "piece").cogroup(of_pieces.groupBy("shard", "piece")).applyInArrow(_split(radius), "shard long, fp long"), "deeper")
+        level += 1
+
+
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct ``fp`` to edges (a, b) whose closure is that of all pairs within ``radius`` bits."""
     n = fps.count()
     sample = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     nodes = top_tree(sample, -(-n // SHARD), radius)
-    routed = fps.select("fp").mapInArrow(_routed(nodes, radius), "shard int, fp long")
-    return routed.groupBy("shard").applyInArrow(_searched(radius), "a long, b long")
+    routed = persist(fps.select("fp").mapInArrow(_routed(nodes, radius), "shard long, fp long"), "routed")
+    return _deepened(routed, radius).groupBy("shard").applyInArrow(_searched(radius), "a long, b long")
 
 
 def components(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

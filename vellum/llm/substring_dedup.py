@@ -1,6 +1,7 @@
 """Substring dedup (operator 2): Rabin-Karp hashes of every window of ``width`` words.
 
-Plan. Texts are dealt into groups of about 6 MB by a hash of their id (``group``). In each group
+Plan. Texts are dealt into groups of about 6 MB by a hash of id and text; rows that are repeated until they fill a group
+are written first and dealt by their place. In each group
 every window's 64-bit rolling hash is computed with numpy and dealt into ``bucket`` by bits of a
 second, independent rolling hash; a group sends one packed array a bucket. A bucket counts its
 hashes over the whole corpus and answers each group with the positions of the repeated ones in
@@ -9,11 +10,12 @@ merge into maximal intervals, and those are cut out.
 
 No key can be hot: a passage shared by a third of all documents is at most one array entry a
 window, spread like all others, and a group or bucket has the same size whatever the corpus
-repeats. Buckets grow with the corpus, and their bits add to the hash's 64 (``2**-(64 + log2
+repeats. Buckets grow with the corpus; a group sends
+rows only to buckets that it has windows of, so there are never more than windows. Their bits add to the hash's 64 (``2**-(64 + log2
 buckets)`` for a chance match), so accuracy holds at any size.
 
 Defined results: null, empty and short texts (fewer than ``width`` words) keep all their words;
-repeated rows are separate documents whose windows repeat each other; extra columns are ignored;
+repeated rows are separate documents whose windows repeat each other; a very long text is a group of its own; extra columns are ignored;
 an empty table gives an empty result. A null ``doc_id`` is carried through.
 """
 
@@ -27,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import by_value, table, text_groups
+from vellum.llm.common import by_value, persist, table
 
-WIDTH = 35
+WIDTH, GROUP = 35, 6 << 20
 _BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5)
 _MOST_KNOWN = 400_000
 
@@ -87,19 +89,24 @@ def _windows(texts: list, width: int, buckets: int) -> tuple[list[list[bytes]],
     return split, counts, np.concatenate([none, *hashes]), np.concatenate([none, *buckets_of]).astype(np.int64)
 
 
+def _by_bucket(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows ordered by bucket; the buckets that have any, and where each begins."""
+    by = np.argsort(of, kind="stable")
+    full, begin = np.unique(of[by], return_index=True)
+    return by, full, np.append(begin, len(by))
+
+
 def _ask(width: int, buckets: int):
     def ask(group: tuple, rows: pa.Table) -> pa.Table:
         order = rows.column("at").to_numpy().argsort(kind="stable")
         _, _, hashes, of = _windows(rows.column("text").take(order).to_pylist(), width, buckets)
-        by = np.argsort(of, kind="stable")
-        cut = np.searchsorted(of[by], np.arange(buckets + 1))
+        by, full, cut = _by_bucket(of)
         hashes = hashes[by]
-        full = [b for b in range(buckets) if cut[b] < cut[b + 1]]
         return pa.table(
             {
                 "bucket": pa.array(full, pa.int32()),
                 "g": pa.array([group[0].as_py()] * len(full), pa.int32()),
-                "hashes": pa.array([hashes[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()),
+                "hashes": pa.array([hashes[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
             }
         )
 
@@ -128,11 +135,11 @@ def _cut(width: int, buckets: int, keep_text: bool):
         order = rows.column("at").to_numpy().argsort(kind="stable")
         rows = rows.take(order)
         split, counts, _, of = _windows(rows.column("text").to_pylist(), width, buckets)
-        by = np.argsort(of, kind="stable")
-        begin = np.searchsorted(of[by], np.arange(buckets + 1))
+        by, full, begin = _by_bucket(of)
         again = np.zeros(len(of), bool)
-        for b, at in zip(answers.column("bucket").to_pylist(), answers.column("positions").to_pylist(), strict=True):
-            again[by[begin[b] + np.frombuffer(at, np.uint32)]] = True
+        held = np.searchsorted(full, answers.column("bucket").to_numpy())
+        for k, at in zip(held, answers.column("positions").to_pylist(), strict=True):
+            again[by[begin[k] + np.frombuffer(at, np.uint32)]] = True
         ends = np.cumsum(counts)
         removed, shas, texts, spans = [], [], [], []
         for k, words in enumerate(split):
@@ -171,10 +178,12 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, keep_text: bool
 
     ``removed_spans`` are maximal word intervals (end exclusive). ``keep_text=False`` leaves
     ``kept_text`` null."""
-    groups = text_groups(docs)
-    buckets = groups
-    dealt = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("at"))
-    dealt = dealt.withColumn("g", F.pmod("at", F.lit(groups)).cast("int")).repartition(int(groups), "g")
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("at"))
+    total, most = rows.groupBy("at").agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("times")).agg(F.sum("n"), F.max(F.when(F.col("times") > 1, F.col("n")))).first()
+    groups = buckets = max(16, -(-(total or 0) // GROUP))
+    if (most or 0) > GROUP:  # rows repeated by the thousand: they are told apart by their place in a written table
+        rows = persist(rows, "repeated").withColumn("at", F.monotonically_increasing_id()).withColumn("at", F.xxhash64("at"))
+    dealt = rows.withColumn("g", F.pmod("at", F.lit(groups)).cast("int")).repartition(int(groups), "g")
     asked = dealt.groupBy("g").applyInArrow(_ask(width, int(buckets)), "bucket int, g int, hashes binary")
     answers = asked.groupBy("bucket").applyInArrow(_count, "g int, bucket int, positions binary")
     return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(
