@@ -24,9 +24,22 @@ def listing_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def stale_keys(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
     """Keys gone from the source; none if it returned less than ``least`` of what was known."""
-    n_old, n_new = old.count(), new.count()
+    counts = old.agg(F.count("*").alias("n_old")).withColumn("one", F.lit(1)).join(new.agg(F.count("*").alias("n_new")).withColumn("one", F.lit(1)), "one")
+    enough = counts.where((F.col("n_new") > 0) & (F.col("n_new") >= least * F.col("n_old"))).select("one")  # one row or none
     gone = old.select("jira_key").join(new.select("jira_key"), "jira_key", "left_anti")
-    return gone if n_new and n_new >= least * n_old else gone.limit(0)
+    return gone.withColumn("one", F.lit(1)).join(F.broadcast(enough), "one", "left_semi").select("jira_key")
+
+
+def descendants(pages: DataFrame, root: int, depth: int = 20) -> DataFrame:
+    """``id, depth`` of all below ``root`` in ``pages`` (``id, parent``), a join a level, to ``depth`` or the last level that has any."""
+    level = pages.where(F.col("parent") == root).select("id", F.lit(1).alias("depth"))
+    found = level
+    for k in range(2, depth + 1):
+        level = pages.join(level.select(F.col("id").alias("parent")), "parent").select("id", F.lit(k).alias("depth"))
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    return found
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "jira_key") -> DataFrame:

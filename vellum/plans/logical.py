@@ -4,6 +4,9 @@ Entries are plain SQL that Spark and DuckDB both run; where array syntax differs
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -75,8 +78,10 @@ def logical(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = LOGICAL[name]
     sql = sql if isinstance(sql, str) else sql[0]
     for t in BASE:
-        if t in sql:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        if re.search(table := rf"\b(FROM|JOIN) {t}\b", sql):
+            view = f"vellum_{t}_{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}"  # no user's view has this name
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(view)
+            sql = re.sub(table, rf"\1 {view}", sql)
     return spark.sql(sql)
 
 

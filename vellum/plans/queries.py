@@ -125,12 +125,12 @@ def duplicate_verdict(t):
     return search.nearest(t, asked(t), 3, "jira_key", 0.72, 0.74)
 
 
-@query(
-    "orphan_tests", "test_cases",
-    sql=f"""WITH {_KNN % ('', 1000000)} SELECT jira_key, max(score) AS best_score FROM knn GROUP BY jira_key HAVING max(score) < 0.52""",
-)
-def orphan_tests(t):
-    return search.best_scores(t, asked(t)).where("best_score < 0.52")
+@query("orphan_tests", "test_cases", "prd_vectors", sql=f"""WITH q AS (SELECT chunk_no, embedding AS q FROM prd_vectors WHERE chunk_no % 7 = 0)
+    SELECT jira_key, best_score FROM (SELECT jira_key, max(score) AS best_score FROM (SELECT jira_key, {_COS} AS score FROM q, test_cases) GROUP BY jira_key) WHERE best_score < 0.64 ORDER BY best_score""")
+def orphan_tests(t, c):
+    """Tests that no chunk (of the documents in question) comes near, the loneliest first."""
+    chunks = c.where("chunk_no % 7 = 0").select(F.col("chunk_no").alias("query_id"), F.col("embedding").alias("q"))
+    return search.best_scores(t, chunks).where("best_score < 0.64").orderBy("best_score", "jira_key")
 
 
 @query("available_modules", "test_cases", sql="SELECT DISTINCT module FROM test_cases WHERE module IS NOT NULL ORDER BY module LIMIT 100")
@@ -518,18 +518,15 @@ def csv_export(d):
     return files.csv_fields(d.select("id", "action", "approved", "confidence", "reviewed"))
 
 
-@query("page_tree", "listing_old", sql="""WITH p AS (SELECT substring(jira_key, 3)::BIGINT AS id FROM listing_old),
-    d1 AS (SELECT id, id // 5 AS parent FROM p), t1 AS (SELECT id, 1 AS depth FROM d1 WHERE parent = 3), t2 AS (SELECT d1.id, 2 AS depth FROM d1 JOIN t1 ON d1.parent = t1.id), t3 AS (SELECT d1.id, 3 AS depth FROM d1 JOIN t2 ON d1.parent = t2.id)
-    SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3""")
+@query("page_tree", "listing_old", sql="""WITH RECURSIVE d AS (SELECT substring(jira_key, 3)::BIGINT AS id, substring(jira_key, 3)::BIGINT // 5 AS parent FROM listing_old),
+    t AS (SELECT id, 1 AS depth FROM d WHERE parent = 3 UNION ALL SELECT d.id, t.depth + 1 FROM d JOIN t ON d.parent = t.id WHERE t.depth < 20) SELECT * FROM t""")
 def page_tree(p):
-    """Descendants of page 3, level by level (a join a level, to depth 3)."""
-    pages = p.select(F.substring("jira_key", 3, 20).cast("long").alias("id")).withColumn("parent", F.floor(F.col("id") / 5).cast("long"))
-    level = pages.where("parent = 3").select("id", F.lit(1).alias("depth"))
-    out = level
-    for depth in (2, 3):
-        level = pages.join(level.select(F.col("id").alias("parent")), "parent").select("id", F.lit(depth).alias("depth"))
-        out = out.unionByName(level)
-    return out
+    """Descendants of page 3."""
+    pages = p.select(F.substring("jira_key", 3, 20).cast("long").alias("id"))
+    return sync.descendants(pages.withColumn("parent", F.floor(F.col("id") / 5).cast("long")), 3)
+
+
+ORACLE["page_tree"] = ORACLE["page_tree"].replace("WITH listing_old", "WITH RECURSIVE listing_old", 1).replace(", RECURSIVE d AS", ", d AS")
 
 
 # Document conversion and chunking are folds over text that SQL cannot state; tests hold them.

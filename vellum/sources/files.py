@@ -14,7 +14,7 @@ def extension(name: Column) -> Column:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Text files below ``path``: ``source_id, source_type, text``; a file without a title takes its name as one.
-    Others and those over ``MOST_BYTES`` are left out."""
+    Others and those over ``MOST_BYTES`` are left out; ``rejected_documents`` names them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.where(extension(F.col("path")).isin(*TEXT) & (F.col("length") <= MOST_BYTES)).select(name.alias("name"), F.decode("content", "UTF-8").alias("raw"))
@@ -23,6 +23,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.concat(F.lit("file:upload:"), F.when(label == "", "document").otherwise(label)).alias("source_id"), F.concat(F.lit("file_"), extension(F.col("name"))).alias("source_type"), text.alias("text"))
 
 
+def rejected_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``name, reason`` of the files below ``path`` that ``read_documents`` leaves out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length")
+    reason = F.when(~extension(F.col("path")).isin(*TEXT), "unknown_type").when(F.col("length") > MOST_BYTES, "too_large")
+    return files.select("name", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema("queries array<struct<query:string,module:string,expected_keys:array<string>,prd_source_id:string,prd_section:string,notes:string>>").json(path).select(F.explode("queries").alias("q")).select("q.*")
 
