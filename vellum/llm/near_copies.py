@@ -22,7 +22,8 @@ is right, so frequencies are counted by ``BUCKETS`` hash buckets, a bounded tabl
 
 Defined results: null and wordless texts have the empty set and are copies of each other; texts of fewer
 words than a shingle are one shingle; of a group the smallest ``doc_id`` stays (a null one only if all
-are null); repeated rows leave one; extra columns are kept; an empty table gives an empty result.
+are null); repeated rows leave one; a very long text's set is made whole; extra columns are kept, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
