@@ -17,7 +17,8 @@ takes in all but about one in a thousand of the windows that have no more than t
 Only built-in functions run. Texts are scanned twice: shingles are exploded from zipped slices of the words (compiled
 code, no function a word) into a broadcast join (benchmark's shingles, up to ``MOST_SHINGLES``; a shuffled join beyond),
 and places of the matching ones are gathered by text and item; texts with starts (broadcast up to ``MOST_LEAKS`` texts)
-are then cut into their windows. The index is broadcast behind a count of its own rows.
+are then cut into their windows. The index (some 1,800 rows an item) is
+broadcast behind a count of its own rows (``MOST_INDEX``), else met by a shuffle.
 
 Defined results: null and wordless texts and items match nothing; an item of fewer than five words
 is one shingle of its own length; texts shorter than an item are compared as a whole; repeated rows
@@ -37,7 +38,7 @@ from vellum.llm.common import bounded, free_name, let, lower_az, persist, table,
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
 BLOCKS = (13, 13, 13, 13, 12)  # bits
-MOST_SHINGLES, MOST_LEAKS = 1_000_000, 200_000
+MOST_SHINGLES, MOST_INDEX, MOST_LEAKS = 1_000_000, 100_000, 200_000
 _FLIPS = RADIUS // len(BLOCKS)  # bits that some block of fingerprints within the radius differs in at most
 
 
@@ -156,7 +157,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = persist(windows.select("doc_id", "text_hash", "n", "start", "x.*"), "windows")
 
     index = persist(_index(items), "index")
-    index = F.broadcast(index) if bounded(index, MOST_SHINGLES) else index
+    index = F.broadcast(index) if bounded(index, MOST_INDEX) else index
     blocks = F.array(*[_block(F.col("fp"), j) for j in range(len(BLOCKS))])
     near = windows.select("*", F.posexplode(blocks).alias("block", "code")).join(index, ["n", "block", "code"])
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))

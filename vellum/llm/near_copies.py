@@ -46,7 +46,8 @@ SALTS = 8  # pieces of a band when its leader is joined to its members by shuffl
 ROUNDS, YIELD, BUCKET_BITS = 8, 4, 17
 BUCKETS = 1 << BUCKET_BITS
 _BATCH = 256  # rows with a whole text or its set in one Arrow batch
-_BASE, _CHUNK = 0xD6E8FEB86659FD93, 4096
+_KNOWN = 100_000  # words remembered between batches, so that idle workers keep little
+_BASE, _CHUNK = 0xD6E8FEB86659FD93, 1024
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 
@@ -82,6 +83,8 @@ def _described(batches):
     known: dict[bytes, int] = {}
     for batch in batches:
         texts = batch.column("text").to_pylist()
+        if len(known) > _KNOWN:
+            known.clear()
         found = [_node(shingle_set(t, known)) for t in texts]
         yield pa.RecordBatch.from_arrays(
             [
@@ -99,6 +102,8 @@ def _described(batches):
 def _sets(batches):
     known: dict[bytes, int] = {}
     for batch in batches:
+        if len(known) > _KNOWN:
+            known.clear()
         grams = [shingle_set(t, known).tobytes() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(grams, pa.binary())], names=["node", "grams"])
 
