@@ -1,6 +1,6 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from vellum.llm import decontamination, language_model, mixing, pii, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup, url_filters
+from vellum.llm import decontamination, language_model, mixing, pii, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup, url_filters, vector_codes
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8,
     "op9_sharding": sharding.op9,
     "op10_pii": pii.op10,
+    "op11_vector_codes": vector_codes.op11,
 }
-ORACLE_SQL = {"op3_decontamination": decontamination.SQL, "op4_url_filters": url_filters.SQL}
+ORACLE_SQL = {"op3_decontamination": decontamination.SQL, "op4_url_filters": url_filters.SQL, "op11_vector_codes": vector_codes.SQL}
