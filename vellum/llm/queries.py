@@ -1,6 +1,6 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from vellum.llm import decontamination, language_model, lexical_search, mixing, pii, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup, url_filters, vector_codes
+from vellum.llm import decontamination, language_model, lexical_search, mixing, packing, pii, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup, url_filters, vector_codes
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_pii": pii.op10,
     "op11_vector_codes": vector_codes.op11,
     "op12_lexical_search": lexical_search.op12,
+    "op13_packing": packing.op13,
 }
 ORACLE_SQL = {"op3_decontamination": decontamination.SQL, "op4_url_filters": url_filters.SQL, "op11_vector_codes": vector_codes.SQL, "op12_lexical_search": lexical_search.SQL}
