@@ -36,6 +36,17 @@ def module_problem(requested: Column, available: Column) -> Column:
     return F.when(asked & known & ~F.arrays_overlap(requested, available), "module_not_found")
 
 
+def module_problems(requests: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """``module_problem`` of each request (``<key>, requested``) against the modules that ``index`` holds, met by a join."""
+    known = index.select(F.col("module").alias("m")).where("m IS NOT NULL").distinct()
+    asked = requests.where(F.size("requested") > 0).select(key, F.explode("requested").alias("m"))
+    fine = asked.join(known, "m", "left_semi").select(key).distinct().withColumn("fine", F.lit(True))
+    any_known = known.limit(1).select(F.lit(True).alias("any_known"))
+    rows = requests.select(key, (F.size("requested") > 0).alias("asks"), F.lit(True).alias("any_known")).join(fine, key, "left").join(F.broadcast(any_known), "any_known", "left_semi")
+    bad = rows.where("asks AND fine IS NULL").select(key, F.lit("module_not_found").alias("problem"))
+    return requests.select(key).join(bad, key, "left")
+
+
 def in_focus(chunks: DataFrame, focus: DataFrame) -> DataFrame:
     """Chunks (with ``heading``, inherited) whose heading is in ``focus`` (``focus_heading``), as written or normalized."""
     wanted = focus.select(F.col("focus_heading").alias("f")).union(focus.select(normalized_heading(F.col("focus_heading")))).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.sources.scratch import written
+
 
 def metadata_hash(summary: Column, labels: Column, updated: Column) -> Column:
     """Independent of the labels' order."""
@@ -31,11 +33,11 @@ def stale_keys(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def descendants(pages: DataFrame, root: int, depth: int = 20) -> DataFrame:
-    """``id, depth`` of all below ``root`` in ``pages`` (``id, parent``), a join a level, to ``depth`` or the last level that has any."""
-    level = pages.where(F.col("parent") == root).select("id", F.lit(1).alias("depth"))
+    """``id, depth`` of all below ``root`` in ``pages`` (``id, parent``), a join a level, each written, to ``depth`` or the last level that has any."""
+    level = written(pages.where(F.col("parent") == root).select("id", F.lit(1).alias("depth")), "level")
     found = level
     for k in range(2, depth + 1):
-        level = pages.join(level.select(F.col("id").alias("parent")), "parent").select("id", F.lit(k).alias("depth"))
+        level = written(pages.join(level.select(F.col("id").alias("parent")), "parent").select("id", F.lit(k).alias("depth")), "level")
         if level.isEmpty():
             break
         found = found.unionByName(level)

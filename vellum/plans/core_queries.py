@@ -86,18 +86,22 @@ def module_list(t):
 @query("unknown_modules", "test_cases", sql="""WITH a AS (SELECT list(DISTINCT module) AS known FROM test_cases WHERE module IS NOT NULL)
     SELECT jira_key, CASE WHEN NOT list_has_any(['M' || (key_no % 14)::VARCHAR, lower(module)], known) THEN 'module_not_found' END AS problem FROM test_cases, a""")
 def unknown_modules(t):
-    known = t.agg(F.collect_set("module")).first()[0]  # as many as there are modules
     requested = F.array(F.concat(F.lit("M"), (F.col("key_no") % 14).cast("string")), F.coalesce(F.lower("module"), F.lit("")))
-    return t.select("jira_key", guards.module_problem(requested, F.array(*[F.lit(m) for m in known])).alias("problem"))
+    return guards.module_problems(t.select("jira_key", requested.alias("requested")), t, "jira_key")
 
 
+_NORMAL = f"trim(lower(regexp_replace(regexp_replace(trim(regexp_replace(trim(coalesce(%s, '')), '{T.HEADING_PREFIX}', '')), '\\s+', ' ', 'g'), '[\\s:;.\\-–—•]+$', '')))"
 
-@query("focus_filter", "prd_chunks", sql=f"SELECT source_id, chunk_index FROM ({_INHERITED}) WHERE heading IN (SELECT DISTINCT heading FROM ({_INHERITED}) WHERE length(heading) % 3 = 0)")
+
+@query("focus_filter", "prd_chunks", sql=f"""WITH h AS ({_INHERITED.replace("prd_chunks", "(SELECT * REPLACE (CASE WHEN doc_id % 2 = 0 THEN '2.1) ' || section_heading || ' -' ELSE section_heading END AS section_heading) FROM prd_chunks)")}),
+    f AS (SELECT DISTINCT heading AS f FROM h WHERE doc_id % 2 = 1 AND length(heading) % 3 = 0), w AS (SELECT f FROM f UNION SELECT {_NORMAL.replace("%s", "f")} FROM f)
+    SELECT source_id, chunk_index FROM h WHERE heading IN (SELECT f FROM w WHERE f <> '') OR {_NORMAL.replace("%s", "heading")} IN (SELECT f FROM w WHERE f <> '')""")
 def focus_filter(c):
-    heads = sync.inherited(c)
-    focus = heads.where("length(heading) % 3 = 0").select(F.col("heading").alias("focus_heading")).distinct()
-    exact = heads.join(focus, F.col("heading") == F.col("focus_heading"), "left_semi")
-    return guards.in_focus(exact, focus).select("source_id", "chunk_index")
+    """Headings of half of the documents are numbered; the focus names those of the other half, so only the normalized form meets them."""
+    named = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("2.1) "), "section_heading", F.lit(" -"))).otherwise(F.col("section_heading"))
+    heads = sync.inherited(c.withColumn("section_heading", named))
+    focus = heads.where("doc_id % 2 = 1 AND length(heading) % 3 = 0").select(F.col("heading").alias("focus_heading")).distinct()
+    return guards.in_focus(heads, focus).select("source_id", "chunk_index")
 
 
 @query("decision_problems", "proposals", "decisions", sql="""WITH seen AS (SELECT DISTINCT jira_key FROM decisions)

@@ -69,7 +69,7 @@ LOGICAL: dict[str, str | tuple[str, str]] = {
     "ground_truth": "SELECT d.doc_id, d.source AS query, d.n_chars, coalesce(l.quality, 0) AS relevant FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "messages": "SELECT conv_id, turn, role, text FROM conversations",
     "grades": "SELECT l_orderkey AS decision_id, CAST(sum(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS INT) % 8 AS correctness, CAST(sum(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS INT) % 7 AS reasoning, CAST(sum(CASE WHEN l_linenumber = 3 THEN l_quantity END) AS INT) % 6 AS completeness FROM lineitem GROUP BY l_orderkey",
-    "titles": "SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN '1. Implementation Plan for ' WHEN 1 THEN 'PRD: ' WHEN 2 THEN '2.1) Tech Design  - ' WHEN 3 THEN 'Release notes v1.2 ' WHEN 4 THEN 'Weekly review ' WHEN 5 THEN 'Regression suite ' WHEN 6 THEN 'Background' WHEN 7 THEN '- Appendix: ' ELSE 'Why this change ' END || CASE WHEN doc_id % 9 <> 6 THEN substring(text, 1, 30) ELSE '' END || CASE doc_id % 4 WHEN 0 THEN ' -' WHEN 1 THEN ':' ELSE '' END AS title, substring(text, 1, 200) AS body FROM documents",
+    "titles": "SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN '1. Implementation Plan for ' WHEN 1 THEN 'PRD: ' WHEN 2 THEN '2.1) Tech Design  - ' WHEN 3 THEN 'Release notes v1.2 ' WHEN 4 THEN 'Weekly review ' WHEN 5 THEN 'Regression suite ' WHEN 6 THEN 'Background' WHEN 7 THEN '- Appendix: ' ELSE 'Why this change ' END || CASE WHEN doc_id % 9 <> 6 THEN text ELSE '' END || CASE doc_id % 4 WHEN 0 THEN ' -' WHEN 1 THEN ':' ELSE '' END AS title, text AS body FROM documents",
 }
 
 
