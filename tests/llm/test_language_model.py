@@ -1,8 +1,10 @@
+import itertools
 import math
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from vellum.llm import language_model as L
 
@@ -29,6 +31,16 @@ def test_small_cases(spark):
     assert {(r.score, r.train_tokens) for r in lone} == {(0.0, 0)}
 
 
+@pytest.mark.parametrize("order", list(itertools.permutations(range(4)))[::5])
+def test_groups_of_few_tokens(spark, order):
+    """Empty, one-word and two-word texts alone or together in a partition, in every order."""
+    texts = [None, "one", "two words", " \n "]
+    rows = [(k, texts[order[k % 4]]) for k in range(8)] + [(100 + k, "some longer text to learn from") for k in range(3)]
+    for parts in (1, 4, 11):
+        spread = spark.sparkContext.parallelize(rows, parts).toDF("doc_id long, text string")
+        check(rows, L.score_texts(spread).collect())
+
+
 def model_of(texts, seed=None):
     """A model over these training texts, with random weights if a seed is given."""
     t = L.Tokens(texts, np.ones(len(texts), bool))

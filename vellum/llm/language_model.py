@@ -109,7 +109,7 @@ def _asked(g: int, doc_ids: list, texts: list, train: list, buckets: int) -> pa.
     order, full, begin = _by_bucket(t.codes, buckets)
     parts = [order[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
     none = [None] * len(parts)
-    planes = t.ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()  # bytes of equal weight together: they compress
+    planes = t.ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : 3 if len(t.words) <= 1 << 24 else 4].T.tobytes()  # bytes of equal weight together: they compress
     return pa.RecordBatch.from_pydict({
         "g": pa.array([g] * (len(parts) + 1), pa.int64()), "bucket": pa.array([-1, *full.tolist()], pa.int32()),
         "words": pa.array([b"\n".join(t.words), *(b"\n".join([t.words[k] for k in p]) for p in parts)], pa.binary()), "counts": pa.array([None, *(counts[p].tobytes() for p in parts)], pa.binary()),
@@ -296,7 +296,7 @@ def histories(codes: np.ndarray, classes: np.ndarray, ids: np.ndarray, lengths:
     """A hash a feature of the tokens at these positions, from the words' short codes; a text begins after end tokens."""
     place = (np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[at]
     end = int(ids[-1]) if len(ids) else 0  # every text ends with it
-    back = [np.where(place < k, end, ids[at - k]) for k in (1, 2, 3)]
+    back = [np.where(place < k, end, ids[np.maximum(at - k, 0)]) for k in (1, 2, 3)]
     of, codes = classes.astype(np.uint64), codes.astype(np.uint64)
     with np.errstate(over="ignore"):
         one, two = codes[back[0]] * _M2, codes[back[1]] * _M2
@@ -378,9 +378,9 @@ def _ready(model: Model, buckets: int):
 
 def _tokens(ids: bytes, lengths: bytes, train: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens as numbers, lengths of the texts, and which tokens to learn from."""
-    planes = np.frombuffer(ids, np.uint8).reshape(3, -1).astype(np.int32)
     lengths = np.frombuffer(lengths, np.int64)
-    return planes[0] | planes[1] << 8 | planes[2] << 16, lengths, np.repeat(np.frombuffer(train, bool), lengths)
+    planes = np.frombuffer(ids, np.uint8).reshape(-1, lengths.sum()).astype(np.int32)
+    return sum(p << 8 * k for k, p in enumerate(planes)), lengths, np.repeat(np.frombuffer(train, bool), lengths)
 
 
 def _groups(batches):
