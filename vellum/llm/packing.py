@@ -42,7 +42,7 @@ from vellum.llm.common import by_value, persist, table
 CAPACITY, END = 2048, 0
 ROUNDS, STEP, SLACK, SAND = 128, 0.05, 0.02, 32
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, ids binary, task int, nth long"
-_MOST_UNITS, _MOST_WORDS = 200_000, 400_000
+_MOST_UNITS, _MOST_WORDS = 400_000, 400_000
 
 # Fixed value: the pattern that byte-level vocabularies split text by.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -93,11 +93,12 @@ class _Units(_Recent):
 
     def __init__(self, whole, added: list[str]) -> None:
         super().__init__(_MOST_UNITS)
-        self.whole, self.added, self.words, self.find = whole, added, _Words(whole.model), regex.compile(_PATTERN).findall
+        self.whole, self.words, self.find = whole, _Words(whole.model), regex.compile(_PATTERN).findall
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
 
     def make(self, unit: str) -> bytes:
-        if unit and max(unit) < "\u0250" and not any(a in unit for a in self.added):
-            if unit[0] == " " and unit[1:].isalpha():
+        if unit and (unit.isascii() or max(unit) < "\u0250") and not self.added(unit):
+            if unit[1:].isalpha() and unit[0] == " ":
                 return self.words[unit]
             return b"".join(map(self.words.__getitem__, self.find(unit)))
         return array("I", self.whole.encode(unit, add_special_tokens=False).ids).tobytes()
