@@ -548,4 +548,5 @@ QUERIES["chunk_fixed"] = lambda spark, d: chunking.chunk_table(spark.read.parque
 QUERIES["chunk_pages"] = lambda spark, d: chunking.chunk_table(QUERIES["html_to_markdown"](spark, d), "page_id", "markdown")
 QUERIES["embed_hash"] = lambda spark, d: chunking.embedded(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
 
-import vellum.plans.core_queries  # noqa: E402, F401  registers more
+import vellum.plans.change_queries  # noqa: E402, F401  these register more
+import vellum.plans.core_queries  # noqa: E402, F401
