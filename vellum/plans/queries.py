@@ -551,3 +551,4 @@ QUERIES["embed_hash"] = lambda spark, d: chunking.embedded(spark.read.parquet(f"
 import vellum.plans.change_queries  # noqa: E402, F401  these register more
 import vellum.plans.core_queries  # noqa: E402, F401
 import vellum.plans.source_queries  # noqa: E402, F401
+import vellum.plans.stream_queries  # noqa: E402, F401
