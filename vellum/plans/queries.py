@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import chunking, review, search, sync
+from vellum.operators import chunking, rerank, review, search, sync
 from vellum.plans.logical import duck, logical
 from vellum.sources import files
 from vellum.streaming import debounce
@@ -106,6 +106,28 @@ def hybrid_search(t):
     return search.rrf(search.knn(t, asked(t), 100), search.bm25_fields(t, texts(t), 100), k=10)
 
 
+_STRIP = "regexp_replace(coalesce(%s, ''), '^\\s+|\\s+$', '', 'g')"
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(%s), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))"
+
+
+@query(
+    "reranked_search", "test_cases",
+    sql=f"""WITH {_KNN % ('', 100)}, {_FIELDS % 100},
+    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, jira_key) AS first_rank FROM (
+      SELECT query_id, jira_key, round(sum(1.0::DOUBLE / (rank - 1 + 60)), 6) AS rrf FROM (SELECT query_id, jira_key, rank FROM knn UNION ALL SELECT query_id, jira_key, rank FROM bm) GROUP BY ALL)) WHERE first_rank <= 30),
+    b AS (SELECT jira_key, CASE WHEN {_STRIP % 'summary'} <> '' THEN substring(summary, 1, 1344) ELSE '' END AS b, {_STRIP % 'description'} AS ds, {_STRIP % 'steps_text'} AS st FROM test_cases),
+    d AS (SELECT jira_key, b, substring(ds, 1, least(400, 1344 - length(b))::INT) AS ds, st FROM b), x AS (SELECT jira_key, concat_ws(chr(10), b, ds, substring(st, 1, least(300, 1344 - length(b) - length(ds))::INT)) AS doc FROM d),
+    s AS (SELECT f.*, {_WORDS % 'q.summary'} AS q, {_WORDS % 'x.doc'} AS w FROM f JOIN x USING (jira_key) JOIN test_cases q ON q.jira_key = f.query_id),
+    r AS (SELECT query_id, jira_key, first_rank, CASE WHEN trim(array_to_string(q, '')) <> '' THEN round_even(len(list_intersect(q, w))::DOUBLE / len(q), 4) ELSE 0 END AS rerank_score FROM s)
+    SELECT * FROM (SELECT query_id, jira_key, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, first_rank) AS rank FROM r) WHERE rank <= 10""",
+)
+def reranked_search(t):
+    """Hybrid search for three times as many, then the best ten by a scorer of pairs."""
+    fused = search.rrf(search.knn(t, asked(t), 100), search.bm25_fields(t, texts(t), 100), k=rerank.fetch_size(10))
+    rows = fused.join(t.select("jira_key", "summary", "description", "steps_text"), "jira_key").join(texts(t), "query_id")
+    return rerank.rerank(rows, rerank.LexicalOverlap, 10).select("query_id", "jira_key", "rerank_score", "rank")
+
+
 @query(
     "rrf_multi_query", "test_cases",
     sql=f"""WITH {_BM25 % ('summary', 30)}
