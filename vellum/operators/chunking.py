@@ -12,7 +12,7 @@ import zlib
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_TOKENS, OVERLAP, LEAST = 800, 2, 3
@@ -248,3 +248,13 @@ def embedded(docs: DataFrame, id_column: str, text: str) -> DataFrame:
             yield pd.DataFrame({id_column: pdf[id_column], "embedding": [hashed_embedding(t) for t in pdf["t"]]})
 
     return docs.select(id_column, F.col(text).alias("t")).mapInPandas(run, f"{id_column} {docs.schema[id_column].dataType.simpleString()}, embedding array<double>")
+
+
+def hashed_vector(text: Column) -> Column:
+    """``hashed_embedding`` as a column, in Arrow batches."""
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        return texts.map(hashed_embedding)
+
+    return embed(text)

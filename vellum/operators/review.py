@@ -140,3 +140,45 @@ def retrieval_metrics(ranked: DataFrame, k: int) -> DataFrame:
         "query", F.round(F.when(F.col("r") > 0, F.col("hits") / F.col("r")).otherwise(1.0), 6).alias("recall"), F.round(F.try_divide("hits", "seen"), 6).alias("precision"),
         F.round("rr", 6).alias("mrr"), F.round(F.when(F.col("r") > 0, F.col("dcg") / ideal).otherwise(0.0), 6).alias("ndcg"),
     )
+
+
+def keyset_page(rows: DataFrame, after: int | str | None, size: int, key: str = "id") -> DataFrame:
+    """The next page of ``rows`` by a unique key: those after the last key seen (none at first). The condition reaches the scan
+    and only ``size`` rows (1 to 500) a task are kept, whatever came before."""
+    rest = rows if after is None else rows.where(F.col(key) > F.lit(after))
+    return rest.orderBy(key).limit(min(500, max(1, size)))
+
+
+def keyset_pages(read, size: int, after: int | str | None = None, key: str = "id"):
+    """Pages as lists of rows, from the token ``after`` on; ``read()`` gives the rows as they are now. Each page comes with the token
+    that resumes behind it, so a reader that stops loses and repeats nothing, though rows are added meanwhile."""
+    while page := keyset_page(read(), after, size, key).collect():  # at most 500 rows
+        after = page[-1][key]
+        yield page, after
+
+
+def histogram_summaries(values: DataFrame, group: str, value: str) -> DataFrame:
+    """Count, sum, extremes and upper quantiles of each group: ``sorted[min(n // 2, n - 1)]`` as the median and, from 20 values on,
+    ``sorted[min(floor(0.95 n), n - 1)]``, else the greatest, as the 95th.
+
+    Equal values are counted first (partial sums), and ranks are running sums over the distinct values, so a group is as long as it has
+    different values, not as it has rows."""
+    counted = values.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("times"))
+    by_value = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumns({"upto": F.sum("times").over(by_value), "n": F.sum("times").over(Window.partitionBy(group))})
+    at = lambda index: F.min(F.when(F.col("upto") > F.least(index.cast("long"), F.col("n") - 1), F.col(value)))
+    out = ranked.groupBy(group).agg(
+        F.max("n").alias("n"), F.sum(F.col(value) * F.col("times")).cast("long").alias("total"), F.min(value).alias("low"), F.max(value).alias("high"),
+        at(F.floor(F.col("n") / 2)).alias("p50"), at(F.floor(F.col("n") * 0.95)).alias("p95_"),
+    )
+    return out.select(group, "n", "total", "low", "high", "p50", F.when(F.col("n") >= 20, F.col("p95_")).otherwise(F.col("high")).alias("p95"))
+
+
+def reservoir(events: DataFrame, series: str, order: list[str], most: int = 10_000, keep: int = 5_000) -> DataFrame:
+    """Rows of each series, only the last ``keep`` by ``order`` of those with over ``most``. Counts come from partial sums and are met by
+    broadcast-size tables or a shuffle; only rows of long series are ranked, and each task keeps its own last ``keep`` of them."""
+    n = events.groupBy(series).agg(F.count("*").alias("n_"))
+    short = events.join(n.where(F.col("n_") <= most).select(series), series, "left_semi")
+    w = Window.partitionBy(series).orderBy(*[F.desc(c) for c in order])
+    long = events.join(n.where(F.col("n_") > most).select(series), series, "left_semi").withColumn("r_", F.row_number().over(w)).where(F.col("r_") <= keep).drop("r_")
+    return short.unionByName(long)

@@ -270,13 +270,10 @@ def table_counts(d, r):
     return d.agg(F.count("*").alias("n")).select(F.lit("decisions").alias("name"), "n").unionByName(r.agg(F.count("*").alias("n")).select(F.lit("runs").alias("name"), "n"))
 
 
-@query("reservoir", "webhook_events", sql="SELECT event_id FROM (SELECT event_id, event, row_number() OVER (PARTITION BY event ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY event) AS n FROM webhook_events) WHERE n <= 1000 OR r <= 500")
+@query("reservoir", "webhook_events", sql="SELECT event_id FROM (SELECT event_id, event, row_number() OVER (PARTITION BY event ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY event) AS n FROM webhook_events) WHERE n <= 10000 OR r <= 5000")
 def reservoir(e):
-    """Of each series the last 500 once it has over 1,000."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event")
-    return e.withColumns({"r": F.row_number().over(w.orderBy(F.desc("ts"), F.desc("event_id"))), "n": F.count("*").over(w)}).where("n <= 1000 OR r <= 500").select("event_id")
+    """Of each series the last 5,000 once it has over 10,000."""
+    return review.reservoir(e, "event", ["ts", "event_id"]).select("event_id")
 
 
 _METRICS = """WITH x AS (SELECT query, sum(relevant) AS r, count(*) FILTER (WHERE rank <= 20 AND relevant = 1) AS hits, count(*) FILTER (WHERE rank <= 20) AS seen, max(CASE WHEN relevant = 1 THEN 1.0::DOUBLE / rank ELSE 0 END) AS rr FROM

@@ -508,9 +508,7 @@ def compact_messages(m):
 
 @query("histogram_summary", "ground_truth", sql="SELECT query, count(*) AS n, sum(n_chars)::BIGINT AS total, min(n_chars) AS low, max(n_chars) AS high, list_sort(list(n_chars))[least(count(*) // 2, count(*) - 1) + 1] AS p50, CASE WHEN count(*) >= 20 THEN list_sort(list(n_chars))[least(floor(count(*) * 0.95)::BIGINT, count(*) - 1) + 1] ELSE max(n_chars) END AS p95 FROM ground_truth GROUP BY query")
 def histogram_summary(g):
-    s = F.array_sort(F.collect_list("n_chars"))
-    at = lambda f: F.get(s, F.least(f.cast("int"), F.size(s) - 1))
-    return g.groupBy("query").agg(F.count("*").alias("n"), F.sum("n_chars").alias("total"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"), at(F.floor(F.count("*") / 2)).alias("p50"), F.when(F.count("*") >= 20, at(F.floor(F.count("*") * 0.95))).otherwise(F.max("n_chars")).alias("p95"))
+    return review.histogram_summaries(g, "query", "n_chars")
 
 
 @query("counters", "webhook_events", sql="SELECT event, count(*) AS n, arg_max(page_id, {'a': ts, 'b': event_id}) AS last_page FROM webhook_events GROUP BY event")
