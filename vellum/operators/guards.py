@@ -21,6 +21,41 @@ def has_phrase(text: Column, phrase: str) -> Column:
     return F.contains(padded(text), padded(F.lit(phrase)))
 
 
+# Phrases by which a title is of a type, and the form of a version at its start.
+TITLE_PHRASES = {
+    "test_plan": ("test plan", "test case", "test cases", "qa plan", "regression suite"),
+    "implementation_plan": ("implementation plan", "impl plan"),
+    "tech_doc": ("tech doc", "techdoc", "tech design", "technical design", "technical document", "architecture", "hld", "lld"),
+    "release_note": ("release note", "release notes", "changelog", "hotfix"),
+    "meeting_note": ("grooming", "meeting notes", "meeting note", "standup", "stand up", "retro", "retrospective", "sync notes", "planning"),
+    "prd": ("prd", "prds", "product requirement", "product requirements", "requirement document", "brd", "frd"),
+}
+VERSION_TITLE = r"^[vV][0-9]+\.[0-9]+"
+
+
+def titled(title: Column, kind: str) -> Column:
+    """Whether a title has a phrase of this type; ``other`` is a title that has none of any."""
+    if kind == "other":
+        return ~_any(*[titled(title, k) for k in TITLE_PHRASES])
+    version = [F.coalesce(title, F.lit("")).rlike(VERSION_TITLE)] if kind == "release_note" else []
+    return _any(*[has_phrase(title, p) for p in TITLE_PHRASES[kind]], *version)
+
+
+def _any(first: Column, *others: Column) -> Column:
+    for c in others:
+        first = first | c
+    return first
+
+
+def title_filter(title: Column, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Column:
+    """Titles of an included type (all, if none is named) and of no excluded one. Unknown types are ignored, and ``other`` is never
+    excluded, as a title that says nothing is no evidence."""
+    known = (*TITLE_PHRASES, "other")
+    wanted, unwanted = [t for t in include if t in known], [t for t in exclude if t in TITLE_PHRASES]
+    keep = _any(*[titled(title, t) for t in wanted]) if wanted else F.lit(True)
+    return keep & ~_any(*[titled(title, t) for t in unwanted]) if unwanted else keep
+
+
 def normalized_modules(modules: Column) -> Column:
     """Trimmed, without blanks, the first spelling of each name, sorted; null if nothing is left."""
     named = F.filter(F.transform(modules, lambda m: F.trim(m)), lambda m: m != "")
@@ -61,6 +96,12 @@ def banded(score: Column, high: float, medium: float) -> Column:
     return F.when(score >= high, "high").when(score >= medium, "medium")
 
 
+def banded_row(rerank_score: Column, rrf: Column, has_steps: Column) -> Column:
+    """Band of a search result: by the reranker's score (2.0 and 0.5) where there is one and the row has steps, else by the fused
+    score (0.025 and 0.012)."""
+    return F.when(rerank_score.isNotNull() & F.coalesce(has_steps, F.lit(False)), banded(rerank_score, 2.0, 0.5)).otherwise(banded(rrf, 0.025, 0.012))
+
+
 def decision_problem(p: DataFrame, seen: DataFrame) -> DataFrame:
     """``p`` with ``problem``: the first rule that a proposed decision breaks, or null. ``seen`` has the ``jira_key`` of
     tests that were retrieved."""

@@ -182,3 +182,36 @@ def reservoir(events: DataFrame, series: str, order: list[str], most: int = 10_0
     w = Window.partitionBy(series).orderBy(*[F.desc(c) for c in order])
     long = events.join(n.where(F.col("n_") > most).select(series), series, "left_semi").withColumn("r_", F.row_number().over(w)).where(F.col("r_") <= keep).drop("r_")
     return short.unionByName(long)
+
+
+def final_status(truncated: Column, decisions: Column) -> Column:
+    """How an analysis run ends: truncated before empty before completed."""
+    return F.when(truncated, "truncated").when(decisions == 0, "completed_empty").otherwise("completed")
+
+
+def run_lifecycle(runs: DataFrame, requests: DataFrame) -> DataFrame:
+    """``run_id, status, changed`` after one request a run (``run_id, request, to``): ``start`` a new run or one that failed, never one that
+    runs or ended; ``complete`` (with a terminal status in ``to``, else completed) and ``fail`` a running one; ``reopen`` a failed or
+    truncated one. Requests on unknown runs do nothing but start."""
+    j = runs.select("run_id", "status").join(requests, "run_id", "full_outer")
+    now, ask = F.col("status"), F.col("request")
+    ends = F.when(F.col("to").isin("completed", "completed_empty", "truncated"), F.col("to")).otherwise("completed")
+    after = (
+        F.when((ask == "start") & (now.isNull() | (now == "failed")), "running").when((ask == "complete") & (now == "running"), ends)
+        .when((ask == "fail") & (now == "running"), "failed").when((ask == "reopen") & now.isin("failed", "truncated"), "running")
+    )
+    return j.select("run_id", F.coalesce(after, now).alias("status"), after.isNotNull().alias("changed")).where("status IS NOT NULL")
+
+
+def page_with_total(decisions: DataFrame, limit: int, offset: int) -> DataFrame:
+    """``page`` with the number of all rows on each."""
+    total = decisions.agg(F.count("*").alias("total")).withColumn("one_", F.lit(1))  # one row
+    return page(decisions, limit, offset).withColumn("one_", F.lit(1)).join(F.broadcast(total), "one_").drop("one_")
+
+
+def gate(metrics: DataFrame, recall: float = 0.60, mrr: float = 0.40, ndcg: float = 0.40) -> DataFrame:
+    """Macro averages (4 digits) of ``retrieval_metrics`` against their thresholds, and the measures that fail."""
+    mean = metrics.agg(*[F.round(F.avg(c), 4).alias(c) for c in ("recall", "precision", "mrr", "ndcg")])
+    low = {"recall": recall, "mrr": mrr, "ndcg": ndcg}
+    failed = F.filter(F.array(*[F.when(~F.coalesce(F.col(c) >= x, F.lit(False)), c) for c, x in low.items()]), lambda x: x.isNotNull())
+    return mean.select("*", F.array_join(failed, ",").alias("failed"), (F.size(failed) == 0).alias("passes"))

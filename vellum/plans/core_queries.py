@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import guards, ingest, review, search, sync
-from vellum.plans.queries import _COS, _INHERITED, _KNN, EVERY, as_of, asked, ir_metrics, query
+from vellum.operators import answers, coverage, guards, ingest, review, search, sync
+from vellum.plans.queries import _COS, _INHERITED, _KNN, EVERY, IR_METRICS as ORACLE_METRICS, as_of, asked, ir_metrics, query
 
 _PHRASE = "concat(' ', array_to_string(list_filter(regexp_split_to_array(lower(%s), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' '), ' ')"
 _CHUNKS = f"""q AS (SELECT jira_key AS query_id, key_no, embedding AS q FROM test_cases WHERE mod(key_no, {EVERY}) = 0),
@@ -276,15 +276,11 @@ def reservoir(e):
     return review.reservoir(e, "event", ["ts", "event_id"]).select("event_id")
 
 
-_METRICS = """WITH x AS (SELECT query, sum(relevant) AS r, count(*) FILTER (WHERE rank <= 20 AND relevant = 1) AS hits, count(*) FILTER (WHERE rank <= 20) AS seen, max(CASE WHEN relevant = 1 THEN 1.0::DOUBLE / rank ELSE 0 END) AS rr FROM
-    (SELECT query, relevant, row_number() OVER (PARTITION BY query ORDER BY n_chars DESC, doc_id) AS rank FROM ground_truth) GROUP BY query)"""
-
-
-@query("ci_gate", "ground_truth", sql=f"{_METRICS} SELECT recall, mrr, recall >= 0.6 AND mrr >= 0.4 AS passes FROM (SELECT round(avg(round(CASE WHEN r > 0 THEN hits / r ELSE 1 END, 6)), 4)::DOUBLE AS recall, round(avg(round(rr, 6)), 4)::DOUBLE AS mrr FROM x)")
+@query("ci_gate", "ground_truth", sql=f"""WITH m AS ({ORACLE_METRICS}), a AS (SELECT round(avg(recall), 4)::DOUBLE AS recall, round(avg(precision), 4)::DOUBLE AS precision, round(avg(mrr), 4)::DOUBLE AS mrr, round(avg(ndcg), 4)::DOUBLE AS ndcg FROM m)
+    SELECT *, concat_ws(',', CASE WHEN recall < 0.6 THEN 'recall' END, CASE WHEN mrr < 0.4 THEN 'mrr' END, CASE WHEN ndcg < 0.4 THEN 'ndcg' END) AS failed, recall >= 0.6 AND mrr >= 0.4 AND ndcg >= 0.4 AS passes FROM a""")
 def ci_gate(g):
     """Macro averages of the metrics against their thresholds."""
-    mean = ir_metrics(g).agg(F.round(F.avg("recall"), 4).alias("recall"), F.round(F.avg("mrr"), 4).alias("mrr"))
-    return mean.select("recall", "mrr", ((F.col("recall") >= 0.6) & (F.col("mrr") >= 0.4)).alias("passes"))
+    return review.gate(ir_metrics(g))
 
 
 @query("token_usage", "calls", sql="""WITH t AS (SELECT run_id, model, coalesce(sum(input_tokens), 0)::BIGINT AS i, coalesce(sum(output_tokens), 0)::BIGINT AS o, coalesce(sum(cache_read_tokens), 0)::BIGINT AS r, coalesce(sum(cache_write_tokens), 0)::BIGINT AS w, count(*) AS calls, count(input_tokens) AS reported FROM calls GROUP BY ALL)
@@ -320,3 +316,106 @@ def format_chunk(c):
 @query("percentiles", "ground_truth", sql="SELECT query, quantile_cont(n_chars, 0.3) AS p30, quantile_cont(n_chars, 0.95) AS p95 FROM ground_truth GROUP BY query")
 def percentiles(g):
     return g.groupBy("query").agg(F.percentile("n_chars", 0.3).alias("p30"), F.percentile("n_chars", 0.95).alias("p95"))
+
+
+# ---- sections, titles, answers, runs ----
+
+_SECTIONED = """SELECT *, CASE chunk_index % 15 WHEN 0 THEN '1. Building:' WHEN 3 THEN 'MACHINERY' WHEN 6 THEN 'Appendix B' WHEN 9 THEN ' household ' ELSE section_heading END AS heading_now, CASE WHEN chunk_text LIKE '%|%' THEN 'table' WHEN chunk_index % 4 = 0 THEN NULL ELSE 'prose' END AS chunk_type FROM prd_chunks"""
+
+
+def _sectioned(c):
+    now = F.expr("CASE chunk_index % 15 WHEN 0 THEN '1. Building:' WHEN 3 THEN 'MACHINERY' WHEN 6 THEN 'Appendix B' WHEN 9 THEN ' household ' ELSE section_heading END")
+    kind = F.expr("CASE WHEN chunk_text LIKE '%|%' THEN 'table' WHEN chunk_index % 4 = 0 THEN NULL ELSE 'prose' END")
+    return coverage.section_list(c.withColumns({"section_heading": now, "chunk_type": kind}))
+
+
+_BARE_HEADING = f"trim(regexp_replace(trim(coalesce(heading, '')), '{T.HEADING_PREFIX}', ''))"
+_LIST = f"""s0 AS (SELECT *, coalesce(last_value(nullif(trim(heading_now), '') IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY chunk_index ROWS UNBOUNDED PRECEDING), '(no heading)') AS heading FROM ({_SECTIONED})),
+    s1 AS (SELECT source_id, heading, min(chunk_index) AS first, sum(len(list_filter(regexp_split_to_array(trim(chunk_text), '\\s+'), lambda x: x <> '')))::BIGINT AS n_words, coalesce(string_agg(DISTINCT chunk_type, '/' ORDER BY chunk_type), '?') AS kinds FROM s0 GROUP BY source_id, heading),
+    s AS (SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY first, heading) AS INTEGER) AS no, heading, n_words, kinds, NOT regexp_matches({_BARE_HEADING}, '(?i)^(?:{'|'.join(T.META_HEADINGS)})') AS testable FROM s1),
+    t AS (SELECT source_id, no, heading, {_NORMAL.replace("%s", "heading")} AS key FROM s WHERE testable)"""
+
+
+@query("section_list", "prd_chunks", sql=f"WITH {_LIST} SELECT * FROM s")
+def section_list(c):
+    return _sectioned(c)
+
+
+_COUNTED = ", ".join([*(f"count(*) FILTER (WHERE action = '{a}') AS {a}_count" for a in review.ACTIONS), "count(*) FILTER (WHERE approved) AS approved_count", "count(*) FILTER (WHERE NOT reviewed) AS pending_count", "count(*) FILTER (WHERE written_back) AS written_count"])
+
+
+@query("section_coverage", "prd_chunks", "decisions", sql=f"""WITH {_LIST}, d AS (SELECT prd_source AS source_id, lower(prd_section) AS key, {_COUNTED} FROM decisions GROUP BY ALL)
+    SELECT source_id, no, heading, {", ".join(f"coalesce({c}, 0) AS {c}" for c in coverage.COUNTS)}, CASE WHEN keep_count > 0 OR update_count > 0 THEN 'covered' WHEN create_count > 0 THEN 'unverified' WHEN deprecate_count > 0 THEN 'shrinking' WHEN question_count > 0 THEN 'questioned' ELSE 'uncovered' END AS gap_risk
+    FROM t LEFT JOIN d USING (source_id, key)""")
+def section_coverage(c, d):
+    return coverage.section_coverage(_sectioned(c), d)[0]
+
+
+@query("unmatched_labels", "prd_chunks", "decisions", sql=f"""WITH {_LIST} SELECT prd_source AS source_id, min(prd_section) AS label FROM decisions WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.source_id = prd_source AND t.key = lower(prd_section)) GROUP BY prd_source, lower(prd_section)""")
+def unmatched_labels(c, d):
+    return coverage.section_coverage(_sectioned(c), d)[1]
+
+
+@query("coverage_scores", "prd_chunks", "decisions", sql=f"""WITH {_LIST}, a AS (SELECT DISTINCT source_id, key FROM t WHERE key <> ''), b AS (SELECT DISTINCT prd_source AS source_id, lower(prd_section) AS key FROM decisions WHERE action IN ('keep', 'update', 'create')),
+    n AS (SELECT source_id, count(*) AS n_testable, count(*) FILTER (WHERE key IN (SELECT key FROM b WHERE b.source_id = a.source_id)) AS n_covered FROM a GROUP BY source_id),
+    u AS (SELECT source_id, string_agg(key, ',' ORDER BY key) AS unmatched FROM b ANTI JOIN a USING (source_id, key) GROUP BY source_id)
+    SELECT source_id, coalesce(n_testable, 0) AS n_testable, coalesce(n_covered, 0) AS n_covered, CASE WHEN n_testable > 0 THEN round(n_covered / n_testable, 3)::DOUBLE END AS coverage_score, coalesce(unmatched, '') AS unmatched FROM (SELECT DISTINCT source_id FROM s) LEFT JOIN n USING (source_id) LEFT JOIN u USING (source_id)""")
+def coverage_scores(c, d):
+    return coverage.coverage_scores(_sectioned(c), d).withColumn("unmatched", F.array_join("unmatched", ","))
+
+
+def _titled_sql(kind: str) -> str:
+    if kind == "other":
+        return "NOT (" + " OR ".join(_titled_sql(k) for k in guards.TITLE_PHRASES) + ")"
+    found = [f"contains({_PHRASE.replace('%s', 'title')}, ' {p} ')" for p in guards.TITLE_PHRASES[kind]]
+    return "(" + " OR ".join(found + ([f"regexp_matches(title, '{guards.VERSION_TITLE}')"] if kind == "release_note" else [])) + ")"
+
+
+@query("title_filter", "titles", sql=f"""SELECT doc_id, {_titled_sql('prd')} OR {_titled_sql('release_note')} AS named, ({_titled_sql('other')} OR {_titled_sql('test_plan')}) AND NOT {_titled_sql('prd')} AS mixed, NOT ({_titled_sql('meeting_note')} OR {_titled_sql('tech_doc')}) AS rest FROM titles""")
+def title_filter(t):
+    f = lambda *a: guards.title_filter(F.col("title"), *a)
+    return t.select("doc_id", f(("prd", "release_note", "unknown")).alias("named"), f(("other", "test_plan"), ("prd",)).alias("mixed"), f((), ("meeting_note", "tech_doc", "other")).alias("rest"))
+
+
+@query("run_lifecycle", "runs", sql="""WITH q AS (SELECT run_id, run_no, status, CASE run_no % 4 WHEN 0 THEN 'start' WHEN 1 THEN 'complete' WHEN 2 THEN 'fail' ELSE 'reopen' END AS request, CASE run_no % 3 WHEN 0 THEN 'truncated' WHEN 1 THEN 'nonsense' END AS goal FROM runs),
+    a AS (SELECT *, CASE WHEN request = 'start' AND status = 'failed' THEN 'running' WHEN request = 'complete' AND status = 'running' THEN CASE WHEN goal = 'truncated' THEN 'truncated' ELSE 'completed' END WHEN request = 'fail' AND status = 'running' THEN 'failed' WHEN request = 'reopen' AND status = 'failed' THEN 'running' END AS after FROM q)
+    SELECT run_id, coalesce(after, status) AS status, after IS NOT NULL AS changed FROM a UNION ALL SELECT 'new-' || run_id, 'running', true FROM q WHERE run_no % 10 = 0""")
+def run_lifecycle(r):
+    ask = F.expr("CASE run_no % 4 WHEN 0 THEN 'start' WHEN 1 THEN 'complete' WHEN 2 THEN 'fail' ELSE 'reopen' END")
+    known = r.select("run_id", ask.alias("request"), F.expr("CASE run_no % 3 WHEN 0 THEN 'truncated' WHEN 1 THEN 'nonsense' END").alias("to"))
+    new = r.where("run_no % 10 = 0").select(F.concat(F.lit("new-"), "run_id").alias("run_id"), F.lit("start").alias("request"), F.lit(None).cast("string").alias("to"))
+    lost = new.select(F.concat(F.lit("lost-"), "run_id").alias("run_id"), F.lit("fail").alias("request"), "to")
+    return review.run_lifecycle(r, known.unionByName(new).unionByName(lost))
+
+
+@query("decision_page_total", "decisions", sql="SELECT id, run_id, (SELECT count(*) FROM decisions) AS total FROM decisions ORDER BY created_at, id LIMIT 1 OFFSET 0")
+def decision_page_total(d):
+    return review.page_with_total(d, 0, -5).select("id", "run_id", "total")
+
+
+_ASK = f"""{_CHUNKS % ''}, o AS (SELECT query_id, key_no, chunk_no, source_id, score, rank - 1 AS pos FROM hits WHERE score >= 0.6), g AS (SELECT *, score - lead(score) OVER (PARTITION BY query_id ORDER BY pos) AS gap FROM o),
+    z AS (SELECT query_id, count(*) AS n, arg_max(pos, {{'a': gap, 'b': -pos}}) FILTER (WHERE gap IS NOT NULL) AS knee, max(gap) AS kg, median(gap) AS mg FROM g GROUP BY query_id),
+    k AS (SELECT query_id, greatest(CASE WHEN n > 1 AND round(CASE WHEN mg > 1e-12 THEN kg / mg ELSE 0 END, 2) >= 3 THEN coalesce(knee, 0) + 1 ELSE n END, least(3, n)) AS kept FROM z),
+    p AS (SELECT query_id, key_no, chunk_no, source_id, score, CAST(pos + 1 AS INTEGER) AS n FROM g JOIN k USING (query_id) WHERE pos < kept)"""
+
+
+def _passages(t, c):
+    hits = _hits(t, c).join(c.select("chunk_no", "source_id", "section_heading", "doc_title"), "chunk_no")
+    numbered = hits.select("query_id", F.col("chunk_no").alias("key"), "score", F.col("doc_title").alias("title"), F.col("section_heading").alias("heading"), F.concat("source_id", F.lit(" <|system|> text")).alias("text"))
+    return answers.passages(numbered, 8, least=0.6)
+
+
+@query("ask_context", "test_cases", "prd_vectors", sql=f"""WITH {_ASK} SELECT query_id, count(*) AS n_passages, string_agg('[' || n::VARCHAR || '] ' || doc_title || ' › ' || section_heading || chr(10) || v.source_id || ' [FILTERED] text', chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS context FROM p JOIN prd_vectors v USING (chunk_no) GROUP BY query_id""")
+def ask_context(t, c):
+    """What a model is given for each question."""
+    return answers.contexts(_passages(t, c))
+
+
+@query("ask_grounding", "test_cases", "prd_vectors", sql=f"""WITH {_ASK}, m AS (SELECT query_id, q.key_no, coalesce(max(n), 0) AS most FROM q LEFT JOIN p USING (query_id) GROUP BY ALL),
+    x AS (SELECT *, CASE key_no % 3 WHEN 0 THEN list_filter([1, 2, 99, key_no % 11], lambda i: i BETWEEN 1 AND most) WHEN 1 THEN [] ELSE list_filter([1], lambda i: i <= most) END AS c, most = 0 OR key_no % 3 = 2 AS a FROM m)
+    SELECT query_id, array_to_string(list_sort(list_distinct(c)), ',') AS cited, a AS abstained, len(c) > 0 AND NOT a AS grounded FROM x""")
+def ask_grounding(t, c):
+    """What answers cite: some passages twice or that don't exist, none at all, or one while saying that nothing is documented."""
+    answer = F.expr("CASE key_no % 3 WHEN 0 THEN '<think>[4]</think>See [2], [1], [2], [99] and [' || CAST(key_no % 11 AS STRING) || '].' WHEN 1 THEN 'No source [x].' ELSE 'Not documented, but see [1].' END")
+    said = t.where(F.col("key_no") % EVERY == 0).select(F.col("jira_key").alias("query_id"), answer.alias("answer"))
+    return answers.grounded(said, _passages(t, c)).withColumn("cited", F.array_join("cited", ","))

@@ -210,13 +210,13 @@ def score_histogram(g):
 _RANKED = "SELECT query, relevant, row_number() OVER (PARTITION BY query ORDER BY n_chars DESC, doc_id) AS rank FROM ground_truth"
 
 
-@query(
-    "ir_metrics", "ground_truth",
-    sql=f"""WITH x AS (SELECT query, sum(relevant) AS r, count(*) FILTER (WHERE rank <= 20 AND relevant = 1) AS hits, count(*) FILTER (WHERE rank <= 20) AS seen,
+IR_METRICS = f"""WITH x AS (SELECT query, sum(relevant) AS r, count(*) FILTER (WHERE rank <= 20 AND relevant = 1) AS hits, count(*) FILTER (WHERE rank <= 20) AS seen,
       max(CASE WHEN relevant = 1 THEN 1.0::DOUBLE / rank ELSE 0 END) AS rr, sum(CASE WHEN rank <= 20 AND relevant = 1 THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END) AS dcg FROM ({_RANKED}) GROUP BY query)
     SELECT query, round(CASE WHEN r > 0 THEN hits / r ELSE 1 END, 6)::DOUBLE AS recall, round(hits / seen, 6)::DOUBLE AS precision, round(rr, 6)::DOUBLE AS mrr,
-      round(CASE WHEN r > 0 THEN dcg / list_sum(list_transform(range(1, greatest(1, least(r, 20))::BIGINT + 1), lambda x: 1 / log2(x + 1.0::DOUBLE))) ELSE 0 END, 6)::DOUBLE AS ndcg FROM x""",
-)
+      round(CASE WHEN r > 0 THEN dcg / list_sum(list_transform(range(1, greatest(1, least(r, 20))::BIGINT + 1), lambda x: 1 / log2(x + 1.0::DOUBLE))) ELSE 0 END, 6)::DOUBLE AS ndcg FROM x"""
+
+
+@query("ir_metrics", "ground_truth", sql=IR_METRICS)
 def ir_metrics(g):
     from pyspark.sql import Window
 
