@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import answers, coverage, guards, ingest, review, search, sync
+from vellum.operators import answers, coverage, documents, guards, ingest, review, search, sync
 from vellum.plans.queries import _COS, _INHERITED, _KNN, EVERY, IR_METRICS as ORACLE_METRICS, as_of, asked, ir_metrics, query
 
 _PHRASE = "concat(' ', array_to_string(list_filter(regexp_split_to_array(lower(%s), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' '), ' ')"
@@ -419,3 +419,52 @@ def ask_grounding(t, c):
     answer = F.expr("CASE key_no % 3 WHEN 0 THEN '<think>[4]</think>See [2], [1], [2], [99] and [' || CAST(key_no % 11 AS STRING) || '].' WHEN 1 THEN 'No source [x].' ELSE 'Not documented, but see [1].' END")
     said = t.where(F.col("key_no") % EVERY == 0).select(F.col("jira_key").alias("query_id"), answer.alias("answer"))
     return answers.grounded(said, _passages(t, c)).withColumn("cited", F.array_join("cited", ","))
+
+
+# ---- documents as they are read and judged ----
+
+_BLOCKS = f"""b0 AS (SELECT source_id, coalesce(heading, '(no heading)') AS heading, chunk_index, chunk_text FROM ({_INHERITED})),
+    b1 AS (SELECT source_id, heading, min(chunk_index) AS first, string_agg(coalesce(chunk_text, ''), chr(10) || chr(10) ORDER BY chunk_index) AS body FROM b0 GROUP BY source_id, heading),
+    b AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY first, heading) AS no, heading, block, greatest(1, length(block) // 4) AS tokens FROM (SELECT *, CASE WHEN heading = '(no heading)' THEN body ELSE '### ' || heading || chr(10) || body END AS block FROM b1))"""
+
+
+@query("read_documents", "prd_chunks", sql=f"""WITH {_BLOCKS}, f AS (SELECT source_id, count(*) AS n, '# ' || source_id || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY no) AS full_text,
+      string_agg('  ' || no::VARCHAR || '. ' || heading || '  (~' || format('{{:,}}', tokens) || ' tokens)', chr(10) ORDER BY no) AS outline FROM b GROUP BY source_id),
+    h AS (SELECT *, greatest(1, length(full_text) // 4) AS size FROM f), k AS (SELECT *, '# ' || source_id || chr(10) || chr(10) || 'This document is too large to show in full (~' || format('{{:,}}', size) || ' tokens, budget 800).' || chr(10) || 'Outline of all ' || n::VARCHAR || ' sections:' || chr(10) || outline || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS header FROM h),
+    r AS (SELECT b.*, sum(tokens) OVER (PARTITION BY source_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS used FROM b), s AS (SELECT r.source_id, count(*) AS shown, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY no) AS opening FROM r JOIN k USING (source_id) WHERE used <= 800 - greatest(1, length(header) // 4) GROUP BY r.source_id)
+    SELECT source_id, n AS n_sections, CASE WHEN size <= 800 THEN n ELSE coalesce(shown, 0) END AS n_shown, CASE WHEN size <= 800 THEN full_text ELSE header || coalesce(opening, '') END AS text FROM k LEFT JOIN s USING (source_id)""")
+def read_documents(c):
+    return documents.read_documents(documents.section_texts(c), 800)
+
+
+_REQUIRED = f"""rq0 AS (SELECT source_id, {_NORMAL.replace("%s", "heading")} AS key, chunk_index, trim(coalesce(chunk_text, '')) AS t FROM (SELECT * REPLACE (CASE WHEN trim(heading_now) = '' THEN NULL ELSE heading_now END AS heading_now), last_value(nullif(trim(heading_now), '') IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY chunk_index ROWS UNBOUNDED PRECEDING) AS heading FROM ({_SECTIONED}))),
+    rq AS (SELECT source_id, key, CASE WHEN length(b) > 300 THEN substring(b, 1, 300) || chr(10) || chr(10) || '[…truncated for judge context]' ELSE b END AS requirement FROM (SELECT source_id, key, string_agg(t, chr(10) || chr(10) ORDER BY chunk_index) AS b FROM rq0 WHERE key <> '' AND t <> '' GROUP BY source_id, key))"""
+
+
+@query("judge_context", "prd_chunks", "decisions", "test_cases", sql=f"""WITH {_REQUIRED} SELECT d.id, concat_ws(chr(10) || chr(10), '## Section' || chr(10) || prd_section, coalesce('## Requirement' || chr(10) || requirement, '## Requirement' || chr(10) || '(No text of this section is indexed: judge by heading and test.)'),
+      '## Test: ' || t.jira_key || chr(10) || 'Summary: ' || t.summary || chr(10) || 'Labels: ' || t.lang || ', ' || t.source || chr(10) || 'Steps: ' || substring(coalesce(nullif(t.steps_text, ''), 'N/A'), 1, 500), '## Decision: ' || upper(action), 'Reason: ' || CASE WHEN d.id % 2 = 0 THEN new_summary ELSE 'No reason given' END) AS context
+    FROM decisions d LEFT JOIN rq ON rq.source_id = d.prd_source AND rq.key = lower(d.prd_section) LEFT JOIN test_cases t ON t.jira_key = d.jira_key""")
+def judge_context(c, d, t):
+    now = F.expr("CASE chunk_index % 15 WHEN 0 THEN '1. Building:' WHEN 3 THEN 'MACHINERY' WHEN 6 THEN 'Appendix B' WHEN 9 THEN ' household ' ELSE section_heading END")
+    needs = documents.requirement_texts(c.withColumn("section_heading", now), 300)
+    said = d.withColumn("reason", F.when(F.col("id") % 2 == 0, F.col("new_summary")).otherwise(""))
+    return documents.judge_contexts(said, needs, t.select("jira_key", "summary", "steps_text", F.array("lang", "source").alias("labels")))
+
+
+_GRADED = """g AS (SELECT decision_id, CASE WHEN correctness IS NOT NULL THEN greatest(1, least(round_even(correctness + 0.5, 0)::INT, 5)) END AS a, CASE WHEN reasoning IS NOT NULL THEN greatest(1, least(reasoning, 5)) END AS b, CASE WHEN completeness IS NOT NULL THEN greatest(1, least(completeness, 5)) END AS c FROM grades),
+    r AS (SELECT *, round_even((a * 0.6::DOUBLE + b * 0.25::DOUBLE + c * 0.15::DOUBLE) / 5, 3) AS s FROM g)"""
+
+
+def _graded(g):
+    return documents.graded(g.withColumn("correctness", F.col("correctness") + F.lit(0.5).cast("double")))
+
+
+@query("graded_decisions", "grades", sql=f"WITH {_GRADED} SELECT decision_id, a AS correctness, b AS reasoning, c AS completeness, s AS rubric_score, concat_ws(',', CASE WHEN c IS NULL THEN 'completeness' END, CASE WHEN a IS NULL THEN 'correctness' END, CASE WHEN b IS NULL THEN 'reasoning' END) AS missing FROM r")
+def graded_decisions(g):
+    """Grades with halves, which round to even."""
+    return _graded(g).select("decision_id", "correctness", "reasoning", "completeness", "rubric_score", "missing")
+
+
+@query("judge_report", "grades", sql=f"WITH {_GRADED} SELECT count(*) FILTER (WHERE s IS NOT NULL) AS evaluated, count(*) FILTER (WHERE s IS NULL) AS incomplete, round(avg(a) FILTER (WHERE s IS NOT NULL), 2)::DOUBLE AS avg_correctness, round(avg(b) FILTER (WHERE s IS NOT NULL), 2)::DOUBLE AS avg_reasoning, round(avg(c) FILTER (WHERE s IS NOT NULL), 2)::DOUBLE AS avg_completeness, round(avg(s), 3)::DOUBLE AS avg_rubric_score FROM r")
+def judge_report(g):
+    return documents.judge_report(_graded(g))
