@@ -9,7 +9,7 @@ from vellum.functions.sql import register
 from vellum.operators import chunking, review, semantic
 from vellum.plans.queries import _TYPES, ORACLE, QUERIES, query
 from vellum.sources import listings
-from vellum.sources.scratch import new_folder
+from vellum.sources.scratch import new_folder, written
 from vellum.streaming.debounce import TRIGGERS
 
 _ITEMS = """SELECT CASE WHEN doc_id % 4 = 3 THEN '~' || source ELSE source END AS listing, CAST(floor(doc_id / 500) AS INT) AS page, CAST(doc_id AS STRING) AS id, 'Page ' || CAST(doc_id AS STRING) || ' in ' || upper(lang) AS title,
@@ -74,9 +74,9 @@ def signed_events(e):
     page = F.when(n % 11 == 4, F.concat(F.lit("x"), "page_id")).otherwise(F.col("page_id").cast("string"))
     body = F.when(n % 2 == 0, F.to_json(F.struct("event", F.struct(page.alias("id")).alias("page")))).otherwise(F.to_json(F.struct(F.col("event").alias("eventType"), F.struct(page.alias("id")).alias("content"))))
     secret, other = F.lit("a secret"), F.lit("another secret")
-    sign = canonical.hmac_sha256(F.when(n % 7 == 3, other).otherwise(secret), F.col("body"))
+    sign = F.when(n % 7 == 3, canonical.hmac_sha256(other, F.col("body"))).otherwise(canonical.hmac_sha256(secret, F.col("body")))
     header = F.when(n % 13 == 6, F.lit("")).when(n % 3 == 0, sign).otherwise(F.concat(F.lit("sha256="), sign, F.lit(" ")))
-    rows = e.withColumn("body", body).withColumn("header", header)
+    rows = written(e.withColumn("body", body).withColumn("header", header), "signed")  # as events come in: signed elsewhere
     event, page = canonical.event_name(F.col("body")), canonical.event_page(F.col("body"))
     wanted = event.isin(*TRIGGERS) & page.isNotNull() & canonical.signature_ok(secret, F.col("body"), F.col("header"))
     return rows.select("event_id", event.alias("event"), page.alias("page_id"), F.coalesce(wanted, F.lit(False)).alias("accepted"))
