@@ -45,21 +45,19 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.sql("select page_id, event_id from accepted").collect())) == sorted(map(tuple, debounced(events).collect()))
 
 
-def test_orphans_take_every_row_without_a_cap(spark, monkeypatch):
+def test_orphans_take_every_row_without_a_cap(spark):
     import numpy as np
 
-    from vellum.plans import queries
-
-    knn = search.knn
-    monkeypatch.setattr(search, "knn", lambda t, q, k, *a, **b: knn(t, q, min(k, 3), *a, **b))  # as if a table were beyond the cap
     v = np.random.default_rng(3).normal(size=(60, 8))
     v[30:] = -np.abs(v[30:])
     v[0] = 1.0
-    t = spark.createDataFrame([(f"P-{k}", k, x.tolist(), "s", "m") for k, x in enumerate(v)], "jira_key string, key_no long, embedding array<double>, summary string, module string")
+    rows = spark.createDataFrame([(f"P-{k}", x.tolist() if k != 5 else None) for k, x in enumerate(v)], "jira_key string, embedding array<double>")
+    chunks = spark.createDataFrame([(k, f"d{k}", v[k].tolist()) for k in range(0, 60, 7)], "query_id int, source_id string, q array<double>")
     u = v / np.linalg.norm(v, axis=1)[:, None]
-    best = ((1 + u[::7] @ u.T) / 2).round(6).max(0)
-    got = {r.jira_key: round(r.best_score, 6) for r in queries.orphan_tests(t, t.selectExpr("key_no as chunk_no", "embedding")).collect()}
-    assert got == {f"P-{k}": round(b, 6) for k, b in enumerate(best) if b < 0.64} and got
+    scores = ((1 + u[::7] @ u.T) / 2).round(6)
+    got = {r.jira_key: (r.best_score, r.nearest_source, r.has_vector) for r in search.orphans(rows, chunks, 0.64).collect()}
+    want = {f"P-{k}": (scores[:, k].max(), f"d{7 * scores[:, k].argmax()}", True) for k in range(60) if scores[:, k].max() < 0.64 and k != 5}
+    assert got == want | {"P-5": (None, None, False)} and want
 
 
 def test_files(spark, tmp_path):
@@ -84,9 +82,9 @@ def test_query_blocks(spark, monkeypatch):
     rows = spark.createDataFrame([(f"k{k:02d}", [float(k % 7), float(k % 5), 1.0]) for k in range(60)], "jira_key string, embedding array<double>")
     asked = rows.select(F.col("jira_key").alias("query_id"), F.col("embedding").alias("q"))
     whole = sorted(map(tuple, search.knn(rows, asked, 5).collect()))
-    best = sorted(map(tuple, search.best_scores(rows, asked).collect()))
+    best = sorted(map(tuple, search.best_matches(rows, asked).collect()))
     monkeypatch.setattr(search, "QUERY_BLOCK", 9)
-    assert sorted(map(tuple, search.knn(rows, asked, 5).collect())) == whole and sorted(map(tuple, search.best_scores(rows, asked).collect())) == best
+    assert sorted(map(tuple, search.knn(rows, asked, 5).collect())) == whole and sorted(map(tuple, search.best_matches(rows, asked).collect())) == best
 
 
 def test_steps_and_outlines(spark):

@@ -10,8 +10,8 @@ from vellum.sources.scratch import new_folder
 from vellum.streaming import ingest, windows
 
 
-def _stream(events, parts: int = 4, **schema):
-    """The events as a stream that takes a file at a time, in order of time."""
+def _stream(events, parts: int = 4):
+    """The events as a stream that takes a file at a time."""
     spark, path = events.sparkSession, new_folder(events.sparkSession, "events")
     events.repartitionByRange(parts, "ts").write.parquet(path)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
@@ -43,11 +43,13 @@ ORACLE["stream_ingest"] = duck(
 
 @query("runs_in_flight", "webhook_events", sql="SELECT DISTINCT sha256(page_id::VARCHAR || '|' || event || '|' || strftime(date_trunc('minute', ts), '%Y-%m-%dT%H:%M:00+00:00')) AS run_id, page_id, event FROM webhook_events")
 def runs_in_flight(e):
-    """Requests of one kind within a minute are one run; a duplicate is at most a minute behind, so every one is found."""
+    """Requests of one kind within a minute are one run; a duplicate is at most a minute behind, so every one is found. The landed files
+    come in no order of time, so none of their span may count as late."""
     requests = e.withColumn("ts", F.col("ts").cast("timestamp"))
     stream = _stream(requests).withColumn("run_id", windows.run_identity(F.col("page_id"), F.col("event"), at=F.col("ts")))
     out = new_folder(e.sparkSession, "in-flight")
-    kept = windows.one_in_flight(stream).select("run_id", "page_id", "event")
+    span = requests.agg(F.max(F.unix_seconds("ts")) - F.min(F.unix_seconds("ts"))).first()[0] or 0
+    kept = windows.one_in_flight(stream, f"{span + 60} seconds").select("run_id", "page_id", "event")
     kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(e.sparkSession, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     return e.sparkSession.read.schema(kept.schema).parquet(out)
 
