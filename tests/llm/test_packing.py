@@ -1,14 +1,16 @@
 import random
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from vellum.llm import packing as P
 
@@ -89,6 +91,69 @@ def test_other_tokenizers_get_whole_texts():
     assert other.ids("Hello  World") == struct.pack("<2I", *Tokenizer.from_file(path).encode("Hello  World", add_special_tokens=False).ids)
 
 
+def little(ids):
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet=st.sampled_from(list("aB'sd \n\t\r\x0b\x00\x1c\x85\xa0\u1680\u2003\u2028\u205f\u3000àᚁ耀é1²½_-ǅʼnɀɏɐя日👍<|endoftext|>"))), max_size=9), st.integers(1, 40))
+def test_batches_equal_the_tokenizer(texts, most):
+    kept = P._MOST_BYTES
+    P._MOST_BYTES = most
+    try:
+        found = list(FAST.batch(pa.array([*texts, "cut off"], pa.string())[: len(texts)]))
+        assert found == [little(tokens(t)[:-1]) for t in texts]
+        assert list(FAST.batch(pa.array(["not read", *texts], pa.string())[1:])) == found
+    finally:
+        P._MOST_BYTES = kept
+
+
+def test_units_begin_where_the_pattern_cuts():
+    cut = re.compile(r"(?<=\S)(?=[ \n\t\r])")
+    texts = [f"a{chr(c)}{s}{chr(c)}b" for c in [*range(0x3100), 0x65E5, 0x8000, 0x1F44D] for s in " \n\t\rx"]
+    data, offsets = P._bytes(pa.array(texts, pa.large_string()))
+    begins, ends = [], np.cumsum([len(t.encode()) for t in texts])
+    for end, text in zip(ends, texts, strict=True):
+        begins += [end - len(text[m.start() :].encode()) for m in cut.finditer(text)] + [end]
+    assert P._begins(data, offsets).tolist() == [0, *begins]
+
+
+def test_each_word_is_encoded_once(monkeypatch):
+    """The check of round 3 found 488 CPU seconds a GB, most of them for words encoded again with each sign that followed them."""
+    made = []
+    monkeypatch.setattr(P._Words, "make", lambda self, words, make=P._Words.make: made.extend(words) or make(self, words))
+    encoder, rng = P.Encoder(PATH), random.Random(3)
+    words = ["".join(rng.choices(["th", "er", "ión", "ß", "on"], k=4)) for _ in range(300)]
+    texts = ["\n".join(" ".join(w + rng.choice(["", ",", ".", "***", ")."]) for w in rng.choices(words, k=40)) for _ in range(5)) for _ in range(60)]
+    for part in (texts[:40], texts[40:]):
+        assert list(encoder.batch(pa.array(part))) == [little(tokens(t)[:-1]) for t in part]
+    assert len(made) == len(set(made)) <= 2 * 300 + 20
+
+
+def test_other_stretches_are_encoded_once(monkeypatch):
+    made = []
+    monkeypatch.setattr(P._Stretches, "make", lambda self, texts, make=P._Stretches.make: made.extend(texts) or make(self, texts))
+    monkeypatch.setattr(P, "_MOST_BYTES", 100)
+    encoder, texts = P.Encoder(PATH), ["два слова и ещё два слова, два"] * 5 + ["日本 два слова"]
+    assert list(encoder.batch(pa.array(texts))) == [little(tokens(t)[:-1]) for t in texts]
+    assert len(made) == len(set(made)) == 7  # both first stretches, and " слова", " и", " ещё", " два", " слова,"
+
+
+def test_words_forgotten_or_not_spelt_are_encoded_right(monkeypatch, tmp_path):
+    monkeypatch.setattr(P, "_MOST_WORDS", 3)
+    monkeypatch.setattr(P, "_RUN", 2)
+    encoder = P.Encoder(PATH)
+    for text in ("one two three four five", "one six two seven", "one eight nine ten", "six one two"):
+        assert encoder.ids(text) == little(tokens(text)[:-1])
+    small = Tokenizer(models.BPE(vocab={"a": 0, "b": 1, "ab": 2, "Ġ": 3}, merges=[("a", "b")]))  # without letters for other bytes
+    small.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    small.save(str(tmp_path / "small.json"))
+    encoder = P.Encoder(str(tmp_path / "small.json"))
+    assert encoder.units is not None
+    for text in ("ab aab cab c abc ab", " c", "c", " ab c"):
+        assert encoder.ids(text) == little(small.encode(text, add_special_tokens=False).ids)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 100), st.integers(1, 10**6), max_size=40))
 def test_plans_take_every_piece_once(histogram):

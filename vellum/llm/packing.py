@@ -1,7 +1,7 @@
 """Best-fit packing (operator 13): a configuration linear program over the length histogram.
 
-Plan. One scan turns texts into token ids and cuts documents longer than a sequence; a row a piece is written,
-without texts. Pieces are numbered within their length while they are made: by scan task and place in it. The
+Plan. One scan turns texts into token ids (``Encoder``: by distinct stretches between white space, a few MB of text
+at a time) and cuts documents longer than a sequence; a row a piece is written, without texts. Pieces are numbered within their length while they are made: by scan task and place in it. The
 histogram of lengths (at most ``capacity`` rows) is all that reaches the driver. From it comes a plan: how
 often each *configuration* (lengths that fit one sequence together) is used. Pieces then find their sequence by
 arithmetic: the counts of each task and length, summed over the tasks before, turn the number within the task
@@ -29,10 +29,11 @@ import os
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,11 +43,31 @@ from vellum.llm.common import by_value, persist, table
 CAPACITY, END = 2048, 0
 ROUNDS, STEP, SLACK, SAND = 128, 0.05, 0.02, 32
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, ids binary, task int, nth long"
-_MOST_UNITS, _MOST_WORDS = 400_000, 400_000
+_MOST_WORDS, _MOST_BYTES, _RUN = 400_000, 8 << 20, 256
+_OTHER_MODELS = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")  # tokens may not spell their word, or not always be the same
 
-# Fixed value: the pattern that byte-level vocabularies split text by.
-_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_BETWEEN = re.compile(r"(?<=\S)(?=[ \n\t\r])")
+# Fixed value: the pattern that byte-level vocabularies split text by, for texts below U+0240 without U+001C to U+001F.
+_LETTERS, _DIGITS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u023f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+"
+
+# By byte: 1 where a unit may begin, 2 for other white space of one byte (and what Python takes for it), 0 for all else.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[11, 12, 28, 29, 30, 31]], _KIND[[9, 10, 13, 32]] = 2, 1
+_ODD = (np.arange(256) >= 0xC9) | (np.arange(256) >> 2 == 7)  # U+0240 and more, U+001C to U+001F
+
+
+def _begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where units begin in UTF-8, and its end: at texts' ends and at a space, tab or line end after anything but white space."""
+    kind, begins = _KIND[data], np.zeros(len(data) + 1, bool)
+    np.logical_and(kind[1:] == 1, kind[:-1] == 0, out=begins[1:-1])
+    at = np.flatnonzero(begins)
+    at = at[data[at - 1] >= 128]  # white space of two bytes (C2 85, C2 A0) or three (E1 9A 80, E2 80 80 and so on)
+    a, b, c = data[np.maximum(at - 3, 0)], data[np.maximum(at - 2, 0)], data[at - 1]
+    white = (b == 0xC2) & ((c == 0x85) | (c == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    white |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+    begins[at[white]] = False
+    begins[offsets] = True
+    return np.flatnonzero(begins)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -56,57 +77,116 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Recent(dict):
-    """Remembers what it made in two generations of ``most`` keys; what is used again moves to the newer one."""
+    """Remembers the ids that it made in two generations of ``_MOST_WORDS``; what is used again moves to the newer one."""
 
-    def __init__(self, most: int) -> None:
-        self.most, self.old = most, {}
+    def __init__(self) -> None:
+        self.old = {}
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.pop(key, None)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
+    def of(self, texts: list[str]) -> list[bytes]:
+        """Ids of distinct texts."""
+        if len(self) > _MOST_WORDS:
             self.old = dict(self)
             self.clear()
-        self[key] = value
-        return value
+        if self.old:
+            self.update((t, self.old[t]) for t in texts if t in self.old)
+        new = [t for t in texts if t not in self]
+        self.update(zip(new, self.make(new), strict=True))
+        return list(map(self.__getitem__, texts))
+
+
+class _Stretches(_Recent):
+    """Ids of any stretches of texts, by the whole tokenizer."""
+
+    def __init__(self, whole) -> None:
+        super().__init__()
+        self.whole = whole
+
+    def make(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class _Words(_Recent):
-    """Ids of a word between splits of the pattern, by the tokenizer's merges."""
+    """Ids of words between splits of the pattern, by the tokenizer's merges."""
 
     def __init__(self, model) -> None:
-        super().__init__(_MOST_WORDS)
-        self.tokenize, letters = model.tokenize, _byte_letters()
-        self.letters, self.space = str.maketrans({chr(b): letter for b, letter in letters.items()}), letters[32]
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+        super().__init__()
+        self.model = Tokenizer(model)
+        self.model.pre_tokenizer, vocabulary = CharDelimiterSplit(" "), self.model.get_vocab(False)
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.letters = str.maketrans({chr(b): letter for b, letter in _byte_letters().items()} | {"\xff": " "})  # no UTF-8 holds FF
+
+    def make(self, words: list[str]) -> list[bytes]:
+        out, held = [], b"\xff".join(map(str.encode, words)).decode("latin-1").translate(self.letters).split(" ")
+        runs = [held[k : k + _RUN] for k in range(0, len(words), _RUN)]
+        for run, encoding in zip(runs, self.model.encode_batch_fast([" ".join(r) for r in runs]), strict=True):
+            ids = np.array(encoding.ids, "<u4")
+            ends, after = np.cumsum(list(map(len, run))), np.cumsum(self.sizes[ids])
+            stops = np.searchsorted(after, ends)
+            if len(after) and after[-1] == ends[-1] and (after[stops] == ends).all():
+                data, stops = ids.tobytes(), [0, *(4 * stops + 4).tolist()]
+                out += [data[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
+            else:  # tokens that don't spell their words, as where a letter is missing
+                out += [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(run)]
+        return out
+
+
+class _Units:
+    """Ids of stretches of white space and what follows it up to the next white space."""
 
-    def make(self, word: str) -> bytes:
-        if word.isascii() and word[1:].isalpha():
-            held = self.space + word[1:] if word[0] == " " else word
-        else:
-            held = word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.tokenize(held)]).tobytes()
+    def __init__(self, whole, added: list[str]) -> None:
+        self.stretches, self.words, self.find = _Stretches(whole), _Words(whole.model), re.compile(_PATTERN).findall
+        self.added = "|".join(map(re.escape, added))
 
+    def of(self, units: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of units, none of them empty. Latin ones that begin with white space and end with something else stay apart
+        when joined, so the pattern cuts them all at once and distinct words are encoded; the others are encoded whole."""
+        data, offsets = _bytes(units)
+        last = data[offsets[1:] - 1]
+        joins = (_KIND[data[offsets[:-1]]] == 1) & (_KIND[last] == 0) & (last != 0x85) & (last != 0xA0) & ~np.logical_or.reduceat(_ODD[data], offsets[:-1])
+        if self.added:
+            joins &= ~pc.match_substring_regex(units, self.added).to_numpy(zero_copy_only=False)
+        joined, others = units.filter(pa.array(joins)), units.filter(pa.array(~joins))
+        ids = _held(self.stretches, others)
+        if len(joined):
+            data, offsets = _bytes(joined)
+            words = pa.array(self.find(data.tobytes().decode()), pa.large_string())
+            parts = _mapped(words, lambda distinct: _held(self.words, distinct))
+            ids = pa.concat_arrays([_joined(parts, np.searchsorted(_bytes(words)[1], offsets)), ids])
+        place = np.empty(len(units), np.int64)
+        place[np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])] = np.arange(len(units))
+        return ids.take(pa.array(place))
 
-class _Units(_Recent):
-    """Ids of a stretch of white space and what follows it up to the next white space."""
 
-    def __init__(self, whole, added: list[str]) -> None:
-        super().__init__(_MOST_UNITS)
-        self.whole, self.words, self.find = whole, _Words(whole.model), regex.compile(_PATTERN).findall
-        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
+def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of large strings or binaries without nulls, and where each begins; last, where they end."""
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset :][: len(values) + 1]
+    return np.frombuffer(values.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _joined(ids: pa.LargeBinaryArray, bounds: np.ndarray) -> pa.LargeBinaryArray:
+    """The binaries from each bound up to the next, put together."""
+    data, offsets = _bytes(ids)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(offsets[bounds]), pa.py_buffer(data)])
+
+
+def _held(recent: _Recent, texts: pa.LargeStringArray) -> pa.LargeBinaryArray:
+    return pa.array(recent.of(texts.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+
 
-    def make(self, unit: str) -> bytes:
-        if unit and (unit.isascii() or max(unit) < "\u0250") and not self.added(unit):
-            if unit[1:].isalpha() and unit[0] == " ":
-                return self.words[unit]
-            return b"".join(map(self.words.__getitem__, self.find(unit)))
-        return array("I", self.whole.encode(unit, add_special_tokens=False).ids).tobytes()
+def _mapped(values: pa.Array, of) -> pa.Array:
+    """``of`` the distinct values, for each value."""
+    coded = values.dictionary_encode()
+    return of(coded.dictionary).take(coded.indices)
 
 
 class Encoder:
-    """Token ids of texts as little-endian bytes. Byte-level tokenizers never join what white space parts,
-    so stretches between are remembered; other tokenizers get whole texts."""
+    """Token ids of texts as little-endian bytes. Byte-level tokenizers never join what white space parts, so of the
+    stretches between (units) only the distinct ones of a batch are looked at, and of those only words not seen
+    before are encoded; other tokenizers get whole texts."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -117,13 +197,33 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None
-        plain = plain and spec["model"].get("type") == "BPE" and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or re.search(r"\s", a["content"]) for a in added)
+        plain = plain and spec["model"].get("type") == "BPE" and not any(map(spec["model"].get, _OTHER_MODELS)) and not any(map(spec.get, ("truncation", "padding")))
+        plain = plain and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or re.search(r"\s", a["content"]) for a in added)
         self.units = _Units(self.whole, [a["content"] for a in added]) if plain else None
 
     def ids(self, text: str) -> bytes:
-        if self.units is None:
-            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.units.__getitem__, _BETWEEN.split(text)))
+        return b"".join(self.batch(pa.array([text])))
+
+    def batch(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text (null: none), ``_MOST_BYTES`` of text at a time."""
+        texts, first = texts.cast(pa.large_string()).fill_null(""), 0
+        _, offsets = _bytes(texts)
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _MOST_BYTES, side="right")) - 1)
+            some = texts[first:last]
+            if self.units is None:
+                yield from (array("I", self.whole.encode(t, add_special_tokens=False).ids).tobytes() if t else b"" for t in some.to_pylist())
+            else:
+                yield from self._some(some)
+            first = last
+
+    def _some(self, texts: pa.LargeStringArray) -> list[bytes]:
+        data, offsets = _bytes(texts)
+        if not len(data):
+            return [b""] * len(texts)
+        begins = _begins(data, offsets)
+        units = pa.LargeStringArray.from_buffers(len(begins) - 1, pa.py_buffer(begins), pa.py_buffer(data))
+        return _joined(_mapped(units, self.units.of), np.searchsorted(begins, offsets)).to_pylist()
 
 
 def _cut(path: str, capacity: int, end: int, keep_ids: bool):
@@ -132,8 +232,8 @@ def _cut(path: str, capacity: int, end: int, keep_ids: bool):
         seen = [0] * (capacity + 1)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = (encoder.ids(text) if text else b"") + end_id
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.batch(batch.column("text")), strict=True):
+                ids += end_id
                 n = len(ids) // 4
                 stop = n - capacity * ((n - 1) // capacity)
                 start = piece = 0
