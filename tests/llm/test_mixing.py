@@ -68,3 +68,20 @@ def test_whole_table(spark, sf_dir):
     assert len(got) == 200
     for d in M.DOMAINS:
         assert abs(sum(r.rate * r.n_words * r[f"p_{d}"] for r in got) / words / M.TARGETS[d] - 1) < 0.05
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    plain = M._posteriors
+
+    def watched(*args):
+        run = plain(*args)
+
+        def small(batches):
+            return run(b if b.num_rows <= 256 else 1 / 0 for b in batches)
+
+        return small
+
+    monkeypatch.setattr(M, "_posteriors", watched)
+    docs = spark.range(900).selectExpr("id AS doc_id", "concat('some words ', id % 7) AS text").coalesce(1)
+    labels = spark.range(900).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality", "cast(id % 3 = 0 AS int) AS toxic")
+    assert M.mix(docs, labels).select("doc_id").distinct().count()

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import xxhash
 
@@ -89,3 +91,22 @@ def test_shards_keep_their_size(spark, monkeypatch):
     near = [(int(a), int(b)) for k, a in enumerate(fps) for b in fps[k + 1 :][np.bitwise_count(fps[k + 1 :] ^ a) <= 2]]
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
     assert len(near) > 800 and edges == {frozenset((signed(a), signed(b))) for a, b in near}
+
+
+def test_copies_within_few_bits_take_little_memory():
+    flips = [0, *(1 << a for a in range(64)), *(1 << a | 1 << b for a in range(64) for b in range(a))]
+    fps = np.array([0x5DEECE66D1234567 ^ x for x in flips], np.uint64)
+    tracemalloc.start()
+    label = S._block_components(fps, 4)  # every pair links
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not label.any() and peak < 20 << 20
+
+
+def test_blocks_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 7)
+    fps = np.random.default_rng(3).integers(0, 1 << 10, 150).astype(np.uint64) << np.uint64(40)
+    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 1
+    for _ in range(8):
+        near = near @ near
+    assert S._block_components(fps, 1).tolist() == near.argmax(1).tolist()

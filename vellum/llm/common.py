@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
+BATCH = 256  # rows with a whole text or its set in one Arrow batch
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,6 +51,17 @@ def persist(df: DataFrame, label: str) -> DataFrame:
     return kept
 
 
+def persist_batched(df: DataFrame, label: str) -> DataFrame:
+    """``persist`` with Arrow batches of ``BATCH`` rows, so a worker holds few whole texts or sets at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(BATCH))
+    try:
+        return persist(df, label)
+    finally:
+        conf.set(key, before)
+
+
 def free(*tables: DataFrame) -> None:
     """Deletes the folders of tables that ``persist`` wrote. Nothing may read them any more."""
     for df in tables:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from vellum.llm.common import by_value, free_name, persist, table
+from vellum.llm.common import by_value, free_name, persist, persist_batched, table
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.92, "low": 0.03, "toxic": 0.05}  # reachable without dropping clean documents: their posteriors of the others keep some mass
@@ -152,7 +152,7 @@ def _scored(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str]]:
     """``docs`` with words and posteriors, written, and the names of the new columns (ones ``docs`` doesn't have)."""
     names = [free_name(docs, f"mix_{x}") for x in ("words", *DOMAINS)]
     schema = StructType([*docs.schema.fields, StructField(names[0], LongType()), *(StructField(n, DoubleType()) for n in names[1:])])
-    return persist(docs.mapInArrow(_posteriors(*fit(docs, labels), [c.lower() for c in docs.columns].index("text")), schema), "posteriors"), names
+    return persist_batched(docs.mapInArrow(_posteriors(*fit(docs, labels), [c.lower() for c in docs.columns].index("text")), schema), "posteriors"), names
 
 
 def _rated(scored: DataFrame, names: list[str], targets: dict[str, float]) -> tuple[DataFrame, str, float]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import simhash_dedup
-from vellum.llm.common import LOWER, UPPER, bounded, by_value, free, free_name, persist
+from vellum.llm.common import LOWER, UPPER, bounded, by_value, free, free_name, persist, persist_batched
 from vellum.llm.components import connected_components
 from vellum.llm.substring_dedup import rolling, word_codes
 
@@ -45,7 +45,6 @@ MOST_WANTED = 200_000  # rows of a pair of ids and hashes in a broadcast
 SALTS = 8  # pieces of a band when its leader is joined to its members by shuffle
 ROUNDS, YIELD, BUCKET_BITS = 8, 4, 17
 BUCKETS = 1 << BUCKET_BITS
-_BATCH = 256  # rows with a whole text or its set in one Arrow batch
 _KNOWN = 100_000  # words remembered between batches, so that idle workers keep little
 _BASE, _CHUNK = 0xD6E8FEB86659FD93, 1024
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -152,17 +151,6 @@ def _allowed(x: str, y: str):
     return SIMILARITY[1] * F.least(x, y) >= SIMILARITY[0] * F.greatest(x, y)
 
 
-def _persist_batched(df: DataFrame, label: str) -> DataFrame:
-    """``persist`` with Arrow batches of ``_BATCH`` rows, so a worker holds few whole texts or sets at once."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, str(_BATCH))
-    try:
-        return persist(df, label)
-    finally:
-        conf.set(key, before)
-
-
 def _small(df: DataFrame) -> DataFrame:
     """``df`` for a broadcast if it is counted to be small."""
     return F.broadcast(df) if bounded(df, MOST_WANTED) else df
@@ -175,7 +163,7 @@ def _verify(pairs: DataFrame, grams: DataFrame, label: str) -> DataFrame:
     x = grams.join(small.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), "b", F.col("grams").alias("x"))
     wanted = _small(pairs.select(F.col("b").alias("node")).distinct())
     y = grams.join(wanted, "node", "left_semi").select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    return _persist_batched(x.join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), label)
+    return persist_batched(x.join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), label)
 
 
 def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
@@ -209,12 +197,12 @@ def _leader_pairs(unsettled: DataFrame, k: int) -> DataFrame:
 
 def _prefix_pairs(unsettled: DataFrame, grams: DataFrame) -> DataFrame:
     """All pairs of these nodes that are of different components and may have the similarity."""
-    held = _persist_batched(_small(persist(unsettled.select("node", "size", "root").distinct(), "unsettled-nodes")).join(grams, "node"), "unsettled-sets")
+    held = persist_batched(_small(persist(unsettled.select("node", "size", "root").distinct(), "unsettled-nodes")).join(grams, "node"), "unsettled-sets")
     counted = held.select("grams").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
     often = np.zeros(BUCKETS, np.int32)
     often[counted["bucket"].to_numpy(np.int64)] = np.minimum(counted["n"].to_numpy(np.int64), np.iinfo(np.int32).max)
     found = held.mapInArrow(_prefixes(often), "node long, size long, root long, tokens array<long>")
-    found = _persist_batched(found.select("node", "size", "root", F.posexplode("tokens").alias("at", "token")), "prefixes")
+    found = persist_batched(found.select("node", "size", "root", F.posexplode("tokens").alias("at", "token")), "prefixes")
     mixed = found.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("token")
     found = found.join(mixed, "token", "left_semi")
     x, y = (found.select("token", *(F.col(c).alias(f"{p}{c}") for c in ("node", "size", "root", "at"))) for p in ("x", "y"))
@@ -238,7 +226,7 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """One row a row of ``docs``: ``doc_id, text_hash, root``; rows of a group share the root."""
     described = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = _persist_batched(described.mapInArrow(_described, "doc_id long, text_hash long, fp long, node long, size long, keys array<long>"), "described")
+    rows = persist_batched(described.mapInArrow(_described, "doc_id long, text_hash long, fp long, node long, size long, keys array<long>"), "described")
     nodes = rows.groupBy("node").agg(F.min(F.struct("text_hash", "doc_id", "fp")).alias("one"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = persist(nodes.select("node", "size", "keys", "one.*"), "nodes")
 
@@ -257,7 +245,7 @@ def groups(docs: DataFrame) -> DataFrame:
     texts = named.join(near, F.col("own_id").eqNullSafe(F.col("one_id")) & (F.col("own_hash") == F.col("one_hash"))).select("node", "text")
     repeated = not rows.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
     texts = texts.dropDuplicates(["node"]) if repeated else texts
-    grams = _persist_batched(texts.mapInArrow(_sets, "node long, grams binary"), "grams")
+    grams = persist_batched(texts.mapInArrow(_sets, "node long, grams binary"), "grams")
 
     links = _verify(pairs, grams, "links")
     found = connected_components(links)

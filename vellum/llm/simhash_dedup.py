@@ -39,7 +39,7 @@ from vellum.llm.common import LOWER, UPPER, by_value, persist, table
 from vellum.llm.components import connected_components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-SAMPLE, SHARD, LEAF, LEVELS = 20_000, 16_384, 512, 8
+SAMPLE, SHARD, LEAF, LEVELS, BLOCK = 20_000, 16_384, 512, 8, 512
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _CHUNK = 1 << 17
 
@@ -131,15 +131,16 @@ def route(fps: np.ndarray, nodes: list, radius: int) -> tuple[np.ndarray, np.nda
 
 
 def _block_components(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Smallest linked position for each fingerprint, closed over links; compared in blocks."""
-    n, label, step = len(fps), np.arange(len(fps)), 1024
+    """Smallest linked position for each fingerprint, closed over links; compared in blocks of ``BLOCK`` by ``BLOCK``,
+    whose links are never listed: of copies within few bits nearly all pairs link."""
+    n, label = len(fps), np.arange(len(fps))
     while True:
         new = label.copy()
-        for a in range(0, n, step):
-            for b in range(0, n, 4 * step):
-                near = np.bitwise_count(fps[a : a + step, None] ^ fps[None, b : b + 4 * step]) <= radius
-                rows, cols = np.nonzero(near)
-                np.minimum.at(new, rows + a, label[cols + b])
+        for a in range(0, n, BLOCK):
+            least = new[a : a + BLOCK]
+            for b in range(0, n, BLOCK):
+                near = np.bitwise_count(fps[a : a + BLOCK, None] ^ fps[None, b : b + BLOCK]) <= radius
+                np.minimum(least, np.where(near, label[b : b + BLOCK], n).min(1), out=least)
         new = new[new]
         if np.array_equal(new, label):
             return label
