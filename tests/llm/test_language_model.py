@@ -149,3 +149,20 @@ def test_held_out_beats_the_base(spark):
     check(rows, got)
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.3 * sum(r.n_tokens for r in held)
+
+
+def test_tokens_are_those_of_split():
+    texts = ["A b\ta\n\x0bB  c\r\x0c", None, "", " \n ", "É é x y z" * 3, "\x1c\x85 a", "b"]
+    t = L.Tokens(texts, np.ones(len(texts), bool))
+    want = [[*(x or "").encode().lower().split(), b" "] for x in texts]
+    assert [t.words[k] for k in t.ids] == [w for x in want for w in x] and t.lengths.tolist() == [len(x) for x in want]
+
+
+def test_row_sums_of_short_and_long_stretches():
+    rng = np.random.default_rng(5)
+    times = np.sort(np.concatenate([rng.integers(1, 12, 60), [700, 65, 64, 17, 16, 9, 8, 1]]))[::-1]
+    n = int(times.sum())
+    g, order = rng.random((n, 32), np.float32), rng.permutation(n)
+    begin = np.cumsum(times) - times
+    want = [g[order[a : a + k]].astype(float).sum(0) for a, k in zip(begin, times, strict=True)]
+    assert np.allclose(L._row_sums(g, order, begin, times), want, rtol=1e-5)

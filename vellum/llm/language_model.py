@@ -47,8 +47,10 @@ SLOTS, MOST_SLOTS, FULL = 1 << 12, 1 << 16, 1 << 28
 FEATURES, ROUNDS, BATCH, RATE, COMMON = 4, 1, 4096, 0.15, 20
 PAIRS, PASSES, UNIT = 509, 3, 1 << 20  # k-means over letter pairs, in sums of 1 / UNIT
 GROUP = 6 << 20
-_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+RUN = 8  # rows of a minibatch's gradient that are added in turn
+_LOWER = bytes.maketrans(UPPER.encode() + b"\t\n\v\f\r", LOWER.encode() + b" " * 5)
 _END = b" "  # no word contains a space
+_STOP = b"\n "  # the end token between texts whose white space is all spaces
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _NEVER = -60.0  # logit of an outcome that has no training token
 
@@ -57,28 +59,24 @@ def slots(tokens: int) -> int:
     return min(MOST_SLOTS, SLOTS << ((int(tokens) // FULL).bit_length() + 1) // 2)
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+def _split(text: bytes) -> pa.LargeBinaryArray:
+    """The stretches between spaces."""
+    chars = np.frombuffer(text, np.uint8)
+    inside = chars != 32
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))  # where each stretch begins and ends
+    offsets = np.cumsum(np.concatenate([[0], edges[1::2] - edges[::2]]))
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(chars[inside])])
 
 
 class Tokens:
     """The tokens of some texts: ``ids`` into ``words``, ``lengths`` of the texts; ``train`` marks tokens to learn from."""
 
     def __init__(self, texts: list, train: np.ndarray):
-        vocab, ids = _Numbers({_END: 0}), []
-        for text in texts:
-            words = text.encode().translate(_LOWER).split() if text else []
-            ids.append(np.fromiter(map(vocab.__getitem__, words), np.int32, len(words)))
-            ids.append(np.zeros(1, np.int32))
-        ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        order = np.argsort(-np.bincount(ids, minlength=len(vocab)), kind="stable")  # frequent words get small numbers
+        found = _split(_STOP + b"".join(text.encode().translate(_LOWER) + b" " + _STOP if text else _STOP for text in texts)).dictionary_encode()
+        ids, words = found.indices.to_numpy()[1:], [_END, *found.dictionary.to_pylist()[1:]]  # as a stop comes first, its number is 0
+        order = np.argsort(-np.bincount(ids, minlength=len(words)), kind="stable")  # frequent words get small numbers
         number = np.empty(len(order), np.int32)
         number[order] = np.arange(len(order))
-        words = list(vocab)
         self.words, self.ids = [words[k] for k in order], number[ids]
         self.lengths = np.diff(np.flatnonzero(np.concatenate([[True], ids == 0])))
         self.train = np.repeat(train, self.lengths)
@@ -324,28 +322,47 @@ def _exp_logits(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -
     return np.exp(z, out=z)
 
 
+def _row_sums(g: np.ndarray, order: np.ndarray, begin: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Sums of g's rows by stretch of ``order`` (stretches by falling length): a row more of all at once, ``RUN`` times; what
+    is left of the long ones is cut into pieces of ``RUN``."""
+    sums = g.take(order.take(begin), 0)
+    for j in range(1, RUN):
+        if not (n := int(np.count_nonzero(times > j))):
+            return sums
+        sums[:n] += g.take(order.take(begin[:n] + j), 0)
+    if n := int(np.count_nonzero(times > RUN)):
+        pieces = (times[:n] - 1) // RUN
+        first = np.cumsum(pieces) - pieces
+        at = np.repeat(begin[:n] - RUN * first, pieces) + RUN * np.arange(1, pieces.sum() + 1)
+        size = np.minimum(RUN, np.repeat(begin[:n] + times[:n], pieces) - at)
+        by = np.argsort((RUN - size).astype(np.uint8), kind="stable")
+        part = np.empty((len(at), g.shape[1]), g.dtype)
+        part[by] = _row_sums(g, order, at[by], size[by])
+        sums[:n] += np.add.reduceat(part, first)
+    return sums
+
+
 def _learn(weights: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], y: np.ndarray, bias: np.ndarray) -> None:
     """One Adagrad step of a softmax on a minibatch."""
     g = _exp_logits(weights, rows, bias)
-    g /= g.sum(1, keepdims=True)  # not a matrix product: its threads would wait busily
-    g[np.arange(len(y)), y] -= 1
+    g /= np.einsum("ij->i", g)[:, None]  # not a matrix product: its threads would wait busily
+    g.reshape(-1)[np.arange(len(y)) * g.shape[1] + y] -= 1
     for k, r in enumerate(rows):
         order = np.argsort(r, kind="stable")
-        slot = r[order]
+        slot = r.take(order)
         begin = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
         times = np.diff(np.append(begin, len(slot)))
-        step = g.take(order[begin], 0)
-        for n in (1, 2):  # most rows come up to three times
-            few = np.flatnonzero((times > n) & (times <= 3))
-            step[few] += g.take(order[begin[few] + n], 0)
-        if len(many := np.flatnonzero(times > 3)):
-            step[many] = np.add.reduceat(g.take(order[np.repeat(times > 3, times)], 0), np.cumsum(times[many]) - times[many])
-        step /= np.sqrt(times, dtype=np.float32)[:, None]
-        slot, own, square = slot[begin], weights[k], squares[k]
-        seen = square.take(slot) + np.einsum("ij,ij->i", step, step) / step.shape[1]
+        longest = np.argsort(len(y) - times if len(y) >> 16 else (len(y) - times).astype(np.uint16), kind="stable")
+        begin, times = begin.take(longest), times.take(longest)
+        step = _row_sums(g, order, begin, times)
+        slot, own, square = slot.take(begin).astype(np.int64), weights[k], squares[k]
+        times = times.astype(np.float32)
+        seen = square.take(slot) + np.einsum("ij,ij->i", step, step) / (times * step.shape[1])
         square[slot] = seen
-        step *= (RATE / np.sqrt(seen))[:, None]
-        own[slot] -= step
+        step *= (RATE / np.sqrt(seen * times))[:, None]  # a row's gradient counts by the root of its positions
+        new, whole = own.take(slot, 0), f"V{own.strides[0]}"
+        new -= step
+        np.put(own.view(whole).reshape(-1), slot, new.view(whole).reshape(-1))
 
 
 _READY = "ids binary, lengths binary, train binary, doc_ids array<long>, codes binary, totals binary, places binary, mass array<double>, once array<double>"
@@ -450,9 +467,9 @@ def score_group(model: Model, ids, lengths, codes, total, places) -> np.ndarray:
         b = slice(a, a + BATCH)
         k = np.arange(len(ids[b]))
         z = _exp_logits(model.weights[0], [r[b] for r in outer], prior)
-        norm = z.sum(1)
+        norm = np.einsum("ij->i", z)
         y = _exp_logits(model.weights[1], [r[b] for r in inner], inside[of[b]])
-        out[b] = np.log(z[k, of[b]] * y[k, leaf[b]] / (norm * y.sum(1))) + fixed[ids[b]]
+        out[b] = np.log(z[k, of[b]] * y[k, leaf[b]] / (norm * np.einsum("ij->i", y))) + fixed[ids[b]]
         if len(new := np.flatnonzero(total[ids[b]] == 0)):
             out[a + new] = np.log((z[new] * unseen).sum(1) / norm[new])
     return out
